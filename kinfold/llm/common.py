@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Ids are broadcast up to so many rows (about 16 MB); more are joined by shuffle.
+BROADCAST_IDS = 500_000
 #: Where spark.checkpoint.dir is unset (tests, a single machine).
 LOCAL_SHARED = "/tmp/checkpoints/kinfold"
 
@@ -38,6 +40,16 @@ class Staging:
         out.staged_at = path
         return out
 
+    def bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        """The same, as a table bucketed by a column: joins on it do not shuffle its rows again."""
+        self.n += 1
+        n, path = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"{self.root}/{self.n:03d}-{name}"
+        known = f"kinfold_{name}_{uuid.uuid4().hex}"
+        df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(known)
+        out = self.spark.table(known)
+        out.staged_at = path
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         """Remove tables that nothing reads any more."""
         for f in frames:
@@ -45,6 +57,11 @@ class Staging:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few_ids(ids: DataFrame) -> DataFrame:
+    """ids, marked for broadcast if they are staged and few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, bucket_links, word_grams, words
+from .common import Staging, bucket_links, few_ids, word_grams, words
 
 #: Nodes in a block of a large list; a pair of blocks is one group of a task.
 BLOCK = 512
@@ -111,11 +111,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sketches = reps.select("node", "n", "sketch")
 
-    def full_sets(wanted: DataFrame) -> DataFrame:
-        """(node, n, hashes) of these representatives, from their texts."""
-        texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi")
-        full = shingle_sets(texts, "node", "text", width).withColumnRenamed("doc_id", "node").withColumn("n", F.size("hashes"))
-        return full.dropDuplicates(["node", "n"])  # no filter on n: it would be pushed below the shingles and compute them twice
+    # the full sets of the representatives that share a list with another one, once
+    lists = stage.cut(lists, "prefixes")
+    wanted = lists.join(lists.groupBy("bucket").count().filter("count > 1"), "bucket", "left_semi").select("node").distinct()
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(few_ids(stage.cut(wanted, "wanted")), "node", "left_semi")
+    full = shingle_sets(texts, "node", "text", width).withColumnRenamed("doc_id", "node").withColumn("n", F.size("hashes"))
+    full = stage.bucketed(full.dropDuplicates(["node", "n"]), "sets", "node")  # no filter on n: it would be pushed below the shingles
 
     def verify(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sketches.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"}), "b")
@@ -126,11 +127,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = stage.cut(p.distinct(), "candidates")
         if p.isEmpty():
             return p.select("a", "b")
-        full = stage.cut(full_sets(p.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
-        p = p.join(full.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("fa")), ["a", "na"]).join(full.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("fb")), ["b", "nb"])
+        p = p.join(full.select(F.col("node").alias("a"), F.col("n").alias("ma"), F.col("hashes").alias("fa")), "a").join(full.select(F.col("node").alias("b"), F.col("n").alias("mb"), F.col("hashes").alias("fb")), "b")
+        p = p.filter("ma - na = 0 and mb - nb = 0")  # as an equality it would become a join key, for which the sets would be shuffled
         both = F.size(F.array_intersect("fa", "fb"))
         out = stage.cut(p.withColumn("i", both).filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b").distinct(), "verified")
-        stage.drop(full)
         return out
 
     def crowd(members: DataFrame) -> DataFrame:
@@ -146,7 +146,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         present = members.join(of.select("node", "cluster"), "node").select("bucket", "cluster").distinct()
         meet = present.join(present.withColumnRenamed("cluster", "other"), "bucket").filter("cluster <= other").select("cluster", "other").distinct()
         meet = meet.join(blocks, "cluster").join(blocks.select(F.col("cluster").alias("other"), F.col("blocks").alias("other_blocks")), "other")
-        full = full_sets(of.select("node"))
         nodes = of.join(full, "node").join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int")).drop("blocks")
         nodes = stage.cut(nodes, "members")
         # every block of `cluster` against every block of `other`; within a cluster, each pair of blocks once
