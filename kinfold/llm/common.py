@@ -125,13 +125,13 @@ def components(stage: Staging, edges: DataFrame, kind: str = "bigint") -> DataFr
 def bucket_links(stage: Staging, lists: DataFrame, verify: Callable[[DataFrame], DataFrame], within: Column | None = None, crowd: Callable[[DataFrame], DataFrame] | None = None, stars: int = 3, most: int = 64, kind: str = "bigint") -> DataFrame:
     """(node, comp) of the graph whose links are the pairs that share a bucket and pass verify.
 
-    lists: distinct (bucket, node, worth), and whatever `within` compares. verify: keeps the rows of (a, b) that are links.
+    lists: distinct (bucket, node, worth), and whatever `within`, a condition on columns x_... and y_... of a pair, compares; pairs
+    are made inside a join that has it. verify: keeps the rows of (a, b) that are links.
 
     All pairs of a bucket are not made. A star round tests each member against one centre of its bucket, one of least
     worth; what links is one component from then on, and a bucket inside one component is done with. After the star rounds,
-    members of *different* components that share a bucket are tested, so that no link between components is missed:
-    pair by pair (those that meet `within`, a condition on columns x_... and y_... inside the join), or, where `crowd` is
-    given, buckets of over `most` members go there. It gets (bucket, node, comp) and returns links.
+    members of *different* components that share a bucket are tested, so that no link between components is missed: pair by
+    pair, or, where `crowd` is given, buckets of over `most` members go there. It gets (bucket, node, comp, size) and returns links.
     """
     edges, tested, label = [], [], None
     lists = stage.cut(lists, "lists")
@@ -150,18 +150,17 @@ def bucket_links(stage: Staging, lists: DataFrame, verify: Callable[[DataFrame],
 
     cur = lists.withColumn("comp", F.col("node"))
     for r in range(stars + 1):
-        best = F.min(F.struct(F.floor(F.col("worth") / (1 + 2 * r)), F.xxhash64("node", F.lit(r)), "node", "comp")).alias("c")
+        best = F.min(F.struct(F.floor(F.col("worth") / (1 + 2 * r)).alias("w"), F.xxhash64("node", F.lit(r)).alias("h"), *[c for c in cur.columns if c != "bucket"])).alias("c")
         open_ = cur.groupBy("bucket").agg(best, F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        named = lambda d, k, of="": d.select("bucket", *[F.col(f"{of}{c}").alias(f"{k}_{c}") for c in cur.columns if c != "bucket"])
         if r < stars:
-            hub = open_.select("bucket", F.col("c.node").alias("hub"), F.col("c.comp").alias("hub_comp"))
-            pairs = cur.join(hub, "bucket").filter("comp <> hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            x, y, on = named(cur, "x"), named(open_, "y", "c."), F.col("x_comp") != F.col("y_comp")
         else:
             rest = stage.cut(cur.join(open_.select("bucket", "size"), "bucket"), "open")
             few = rest if crowd is None else rest.filter(F.col("size") <= most)
-            x, y = (few.select("bucket", *[F.col(c).alias(f"{k}_{c}") for c in few.columns if c != "bucket"]) for k in "xy")
-            y = y.withColumnRenamed("bucket", "other")
-            on = (F.col("bucket") == F.col("other")) & (F.col("x_comp") < F.col("y_comp"))
-            pairs = x.join(y, on if within is None else on & within).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+            x, y, on = named(few, "x"), named(few, "y"), F.col("x_comp") < F.col("y_comp")
+        on = (F.col("bucket") == F.col("other")) & on
+        pairs = x.join(y.withColumnRenamed("bucket", "other"), on if within is None else on & within).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
         pairs = pairs.distinct()
         if tested:
             pairs = pairs.join(reduce(DataFrame.unionAll, tested), ["a", "b"], "left_anti")
