@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import dataclass, field, fields
 from typing import Any
 
 TYPES = ("string", "number", "boolean", "timestamp", "object", "json", "id")
@@ -144,18 +144,17 @@ def spark_type(p: Property) -> str:
 
 def to_dict(decl: Any) -> dict:
     """A declaration as plain data; functions are left out."""
-    def plain(x):
-        if callable(x):
-            return None
+
+    def plain(x: Any) -> Any:
         if hasattr(x, "to_dict"):
             return x.to_dict()
-        if isinstance(x, dict):
-            return {k: plain(v) for k, v in x.items()}
+        if isinstance(x, Property):
+            return {f.name: plain(getattr(x, f.name)) for f in fields(x)}
         if isinstance(x, (list, tuple)):
             return [plain(v) for v in x]
-        return x
+        return None if callable(x) else x
 
-    return {"kind": type(decl).__name__, **{f.name: plain(asdict(getattr(decl, f.name)) if hasattr(getattr(decl, f.name), "__dataclass_fields__") else [asdict(v) if hasattr(v, "__dataclass_fields__") else v for v in getattr(decl, f.name)] if isinstance(getattr(decl, f.name), tuple) else getattr(decl, f.name)) for f in fields(decl)}}
+    return {"kind": type(decl).__name__, **{f.name: plain(getattr(decl, f.name)) for f in fields(decl)}}
 
 
 def from_dict(d: dict) -> Any:

@@ -56,11 +56,11 @@ class Graph:
         return out
 
     def affected(self, changed: dict[str, set[str]]) -> list[str]:
-        """Views to refresh, in order, after changes of attributes (an empty set: rows came or went)."""
+        """Views to refresh, in order, after changes of attributes (an empty set: rows came or went, or a view was declared anew)."""
         dirty, out = {k: set(v) for k, v in changed.items()}, []
         for n in self.order():
             v = self.views[n]
-            if any(t in dirty and (not dirty[t] or not attrs or dirty[t] & set(attrs)) for t, attrs in v.reads.items()):
+            if n in changed or any(t in dirty and (not dirty[t] or not attrs or dirty[t] & set(attrs)) for t, attrs in v.reads.items()):
                 out.append(n)
                 dirty[n] = set()
         if len(out) > MAX_DEPTH:

@@ -19,15 +19,20 @@ def read_events(spark: SparkSession, path: str, schema: str, max_files: int | No
     return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(path)
 
 
+def _timed(events: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need timestamps with a zone; those without are UTC in a UTC session."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def first_of_key(events: DataFrame, key: list[str], ts: str, delay: str) -> DataFrame:
     """Idempotent ingestion: the first event of each key that comes within the watermark."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
+    return _timed(events, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
 def windowed(events: DataFrame, ts: str, delay: str, width: str, by: list[str], aggs: list[Column], slide: str | None = None) -> DataFrame:
     """Aggregations over event-time windows; late events within the delay count."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return events.withWatermark(ts, delay).groupBy(w.alias("window"), *by).agg(*aggs)
+    return _timed(events, ts).withWatermark(ts, delay).groupBy(w.alias("window"), *by).agg(*aggs)
 
 
 def run_machine(events: DataFrame, machine: StateMachine, key: str, order: str, event: str) -> DataFrame:
