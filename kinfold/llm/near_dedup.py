@@ -159,5 +159,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     label = bucket_links(stage, lists, verify, crowd=crowd)
     found = reps.join(label, "node", "left").select("h1", "h2", "n", F.coalesce("comp", "node").alias("component_id"))
-    ids = sig.join(found, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = sig.join(found, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return ids
