@@ -40,10 +40,13 @@ def balanced_centroids(x: np.ndarray, size: int, seed: int = 6) -> np.ndarray:
     c = np.stack([x[p].mean(0) for p in done])
     extra = np.zeros(len(c))
     for _ in range(6):
-        d = _distances(x, c)
-        near = (d + extra).argmin(1)
+        near, least = np.zeros(len(x), int), 0.0
+        for at in range(0, len(x), 2048):  # bounds the driver's memory
+            d = _distances(x[at : at + 2048], c)
+            least += float(d.min(1).sum())
+            near[at : at + 2048] = (d + extra).argmin(1)
         n = np.bincount(near, minlength=len(c))
-        extra += 0.05 * d.min(1).mean() * (n / max(1, n.mean()) - 1)
+        extra += 0.05 * least / len(x) * (n / max(1, n.mean()) - 1)
         full = n > 0
         c[full] = np.stack([np.bincount(near, x[:, j], len(c)) for j in range(x.shape[1])], 1)[full] / n[full, None]
     return c
@@ -109,7 +112,7 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = 64, copies: int = 6, boundary: float = 1.2, most_lists: int = 96, query_ratio: float = 1.75, sample: int = 30_000) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = 64, copies: int = 6, boundary: float = 1.2, most_lists: int = 96, query_ratio: float = 1.75, sample: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest other rows found by Euclidean
     distance, ties to smaller ids.
 
@@ -136,6 +139,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     n = low.count()
     fit = low.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).toPandas()
     x = np.stack(fit.v.to_numpy())
+    del fit
     graph = CentroidGraph(balanced_centroids(x, max(1, round(list_size * len(x) / n)) if n > sample else list_size))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
