@@ -89,14 +89,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     remove="span" takes hit words out, with what stands between them and the next word, and drops a document of which at least
     drop_share of the words are hit; remove="document" drops every document that was hit. Others stay as they are.
     """
-    keyed, found = hits(docs, benchmark, id_col, text_col, item_col, item_text, width)
+    # the row travels as one value, so that no column name clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed, found = hits(rows, benchmark, "id", "text", item_col, item_text, width)
+    same = [F.col("row").getField(c).alias(c) for c in docs.columns]
     if remove == "document":
-        return keyed.join(found.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti").select(*docs.columns)
+        return keyed.join(found.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti").select(*same)
     out = keyed.join(found.select("_k1", "_k2", F.col("at").alias("_at")), ["_k1", "_k2"], "left")
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({PIECES})"), F.lit(1))
-    share = F.size("_at") / F.greatest(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(1))
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"({PIECES})"), F.lit(1))
+    share = F.size("_at") / F.greatest(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(1))
     out = out.filter(F.col("_at").isNull() | (share < drop_share))
     left = F.filter(pieces, lambda x, i: ~F.array_contains("_at", i))
-    lead = F.regexp_extract(F.col(text_col), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    clean = F.when(F.col("_at").isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(left, "")))
-    return out.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    lead = F.regexp_extract(F.col("text"), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
+    clean = F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(left, "")))
+    return out.select(*[clean.alias(c) if c == text_col else x for c, x in zip(docs.columns, same)])

@@ -94,10 +94,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     """
     spark, stage = docs.sparkSession, Staging(docs.sparkSession)
     names = ["source_block", "release", "deadline", "slot", "mix_pos"]
-    base = docs.select(*[c for c in docs.columns if c not in names])
-    src = F.coalesce(F.col(source_col).cast("string"), F.lit("\0null"))
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"\S+")), F.lit(0)).cast("bigint")
-    base = base.withColumns({"_s": src, "_w": words, "_h": F.xxhash64(F.col(id_col), F.lit(3))})
+    # the row travels as one value, so that no column name clashes
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
+    src = F.coalesce(F.col("_source").cast("string"), F.lit("\0null"))
+    words = F.coalesce(F.regexp_count("_text", F.lit(r"\S+")), F.lit(0)).cast("bigint")
+    base = base.withColumns({"_s": src, "_w": words, "_h": F.xxhash64("_id", F.lit(3))})
     sizes = base.groupBy("_s").agg(F.count("*").alias("rows"), F.sum("_w").alias("words"))
     sizes = sizes.limit(MOST_SOURCES + 1).collect()  # a row for each source
     if len(sizes) > MOST_SOURCES:
@@ -112,8 +113,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     before = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     spans = chunks.groupBy("_s", "span").agg(F.sum("w").alias("w")).withColumn("s0", F.coalesce(F.sum("w").over(before(["_s"], ["span"])), F.lit(0))).drop("w")
     chunks = chunks.withColumn("c0", F.coalesce(F.sum("w").over(before(["_s", "span"], ["_c"])), F.lit(0))).join(spans, ["_s", "span"]).select("_s", "_c", (F.col("c0") + F.col("s0")).alias("_0"))
-    within = F.coalesce(F.sum("_w").over(before(["_s", "_c"], ["_h", id_col, text_col])), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("_s", "_c").orderBy("_h", id_col, text_col))
+    within = F.coalesce(F.sum("_w").over(before(["_s", "_c"], ["_h", "_id", "_text"])), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("_s", "_c").orderBy("_h", "_id", "_text"))
     base = base.withColumns({"_in": within, "_r": rank}).join(chunks, ["_s", "_c"])
     base = base.withColumn("_b", F.floor((F.col("_in") + F.col("_0")) / block_words))
     low = min(target.values(), default=1)
@@ -128,4 +129,4 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     turn, deal = F.floor(n / F.col("parts")) * F.col("period"), F.get("deals", (n % F.col("parts")).cast("int"))
     at = lambda k: (F.col("slot0") + turn + deal[k]).cast("bigint").alias(k)
     pos = (F.col("_c") * (1 << 20) + F.col("_r")).cast("bigint").alias("mix_pos")
-    return out.select(*[c for c in docs.columns if c not in names], F.col("_b").cast("bigint").alias("source_block"), at("release"), at("deadline"), at("slot"), pos)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in names], F.col("_b").cast("bigint").alias("source_block"), at("release"), at("deadline"), at("slot"), pos)
