@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expression import Expression
-from ..functions.values import finite
+from ..functions.values import finite, from_millis, json_column, millis, same_id
+from ..model import Entity, Property
 from ..operators import changes, derive, governance, machines, sequences
 from ..operators import aggregations as A
 from ..plans.match import Match
-from ..plans.query import find
+from ..plans.query import find, recursive
+from ..plans.views import Graph, View
 from ..sources.catalog import Catalog
+from ..sources.tables import KeyValues
 
 M = Match.atom
 Query = Callable[[Catalog], DataFrame]
@@ -168,3 +171,21 @@ Q["insert_rows"] = (lambda c: governance.insert(c.scan("Vendor").select("id", "n
 Q["payload_ref_check"] = (lambda c: governance.payload_errors(c.scan("Event").select("event_id", (F.col("user_id") * 40).alias("customer"), F.when(F.col("value") > 1, F.col("value")).alias("value")), [{"name": "customer", "ref": "customer"}, {"name": "value", "required": True}], "event_id", {"customer": c.scan("Customer")}), "SELECT event_id, 'customer' AS field, 'ref' AS error FROM events WHERE user_id * 40 NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT event_id, 'value', 'required' FROM events WHERE value IS NULL OR value <= 1")
 Q["default_backfill"] = (lambda c: c.scan("Order").select("id", F.coalesce("status_n", F.lit("NEW")).alias("status")), "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'NEW' ELSE o_orderstatus END AS status FROM orders")
 Q["finite_values"] = (lambda c: _dirty(c).scan("Event").select("id", finite(F.col("value")).alias("v")), f"SELECT event_id AS id, v FROM {_DIRTY}")
+
+
+def _computed(c: Catalog) -> DataFrame:
+    e = Entity("Line", (Property("total", "number", computed=lambda r: r["l_extendedprice"] * (1 - r["l_discount"])), Property("note", default="none")))
+    return rounded(governance.with_defaults(e, c.scan("Lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")).select("l_orderkey", "l_linenumber", "total", "note"), "total", digits=4)
+
+
+Q["computed_and_default"] = (_computed, "SELECT l_orderkey, l_linenumber, round((l_extendedprice::DECIMAL(18, 2) * (1 - l_discount::DECIMAL(18, 2)))::DOUBLE, 4) AS total, 'none' AS note FROM lineitem")
+Q["member_change"] = (lambda c: changes.diff(*_snapshots(c)).select("id", changes.member_change(F.col("old.o_orderstatus") == "F", F.col("new.o_orderstatus") == "F").alias("move")).filter("move <> 'none'"), f"SELECT coalesce(o.id, n.id) AS id, CASE WHEN coalesce(o.o_orderstatus = 'F', false) THEN 'left' ELSE 'entered' END AS move FROM {_OLD} o FULL JOIN {_NEW} n ON o.id = n.id WHERE coalesce(o.o_orderstatus = 'F', false) <> coalesce(n.o_orderstatus = 'F', false)")
+Q["merged_event_view"] = (lambda c: changes.diff(*_snapshots(c)).select("id", changes.merged_view(changes.diff(*_snapshots(c))).alias("r")).select("id", "r.o_orderstatus", "r.o_custkey"), f"SELECT coalesce(o.id, n.id) AS id, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus, coalesce(n.o_custkey, o.o_custkey) AS o_custkey FROM {_OLD} o FULL JOIN {_NEW} n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.id % 7 = 0")
+Q["attribute_trigger"] = (lambda c: changes.diff(*_snapshots(c)).filter((F.col("op") == "update") & changes.touches(F.col("keys"), ["o_orderstatus"])).select("id"), f"SELECT n.id FROM {_OLD} o JOIN {_NEW} n ON o.id = n.id WHERE o.id % 7 = 0")
+Q["create_graph"] = (lambda c: governance.create_graph({"Customer": c.scan("Customer").select("id", "c_name"), "Order": c.scan("Order").select("id", "o_custkey")}, {"Customer": c.scan("Supplier").filter("id <= 3").select((F.col("id") + 1000000).alias("id"), F.col("s_name").alias("c_name")), "Order": c.scan("Supplier").filter("id <= 3").select((F.col("id") + 9000000).alias("id"), (F.col("id") + 1000000).alias("o_custkey"))}, {"Order": [("o_custkey", "Customer")]})["Order"].select("id", "o_custkey"), "SELECT o_orderkey AS id, o_custkey FROM orders UNION ALL SELECT s_suppkey + 9000000, s_suppkey + 1000000 FROM supplier WHERE s_suppkey <= 3")
+Q["millis_round_trip"] = (lambda c: c.scan("Event").select("id", millis(F.col("ts").cast("timestamp")).alias("ms"), (from_millis(millis(F.col("ts").cast("timestamp"))) <= F.col("ts").cast("timestamp")).alias("ok")), "SELECT event_id AS id, epoch_us(ts) // 1000 AS ms, true AS ok FROM events")
+Q["json_canonical"] = (lambda c: c.scan("Event").select("id", json_column(F.concat(F.lit('{"z": 1, "a": '), "props", F.lit("}"))).alias("j")), "SELECT event_id AS id, '{\"a\":{\"k\":' || json_extract(props, '$.k') || '},\"z\":1}' AS j FROM events")
+Q["ids_as_text"] = (lambda c: c.scan("Client").join(c.scan("Customer"), same_id(F.substring(c.scan("Client")["id"], 2, 20), F.col("c_custkey"))).select("c_custkey"), "SELECT c_custkey FROM customer")
+Q["dictionary_values"] = (lambda c: KeyValues.empty(c.spark).set("dictionary", "limit", 5).set("dictionary", "limit", 7).set("system", "limit", [1, {"b": 2, "a": 1}]).df, """SELECT * FROM (VALUES ('dictionary', 'limit', '{"raw":7}'), ('system', 'limit', '{"raw":[1,{"a":1,"b":2}]}')) t(concept, key, value)""")
+Q["nested_recursive"] = (lambda c: find(c, "Customer", M("c_custkey", "=", 1), attrs=["c_name", recursive(c, "Customer", "children", ["c_name"], 3)]).select(F.explode("children").alias("a")).select(F.explode("a.children").alias("b")).select(F.explode("b.children").alias("d")).select("d.id", "d.c_name"), "SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey // 8 = 1")
+Q["view_graph_refresh"] = (lambda c: Graph().add(View("totals", {"orders": ("o_totalprice",)}, lambda d: d["orders"].groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("t")))).add(View("rich", {"totals": ()}, lambda d: d["totals"].filter("t > 1000000").select("o_custkey"))).refresh({"orders": c.scan("Order")})["rich"], "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING sum(o_totalprice::DECIMAL(18, 2)) > 1000000")

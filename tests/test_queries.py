@@ -2,7 +2,7 @@
 
 import pytest
 
-from kinfold.workload import catalog, queries_and_sql
+from kinfold.workload import queries_and_sql
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries_and_sql()))
 def test_query(spark, name):
     f, sql = queries_and_sql()[name]
-    compare(spark, SF, lambda s, d: f(catalog(s, d)), sql)
+    compare(spark, SF, f, sql)
 
 
 def test_entry(spark):
