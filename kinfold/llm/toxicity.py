@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, thinned
 
 STEPS, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHARS = 32, 16, 8, 8, 12, 4096
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&/\\-_=+~`«»“”‘’…¡¿"
@@ -256,11 +256,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A network fitted on at most per_class labelled documents of each class outside the held-out ones, picked by the hash of
     their id. A fifth of them are for the calibration, to the shares of the classes among all labels."""
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    order = [F.xxhash64("id"), F.col("id")]
+    known = known.withColumn("h", F.xxhash64("id"))
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
-    known = known.filter("y = 1").orderBy(*order).limit(per_class).unionAll(known.filter("y = 0").orderBy(*order).limit(per_class))
+    first = lambda k: thinned(known.filter(F.col("y") == k), "h", per_class, share.get(k, 0)).orderBy("h", "id").limit(per_class)
+    known = first(1).unionAll(first(0)).drop("h")
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").toPandas()
-    sample = sample[sample.text.map(lambda t: t is not None and bool(t.strip()))].sort_values(["id", "text"])
+    sample = sample[sample.text.map(lambda t: t is not None and bool(t.strip())).astype(bool)].sort_values(["id", "text"])
     if not len(sample):
         return None
     texts, y = list(sample.text), sample.y.to_numpy()
