@@ -87,6 +87,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def thinned(rows: DataFrame, h: str, want: int, total: int) -> DataFrame:
+    """About four times `want` of `total` rows, picked by a hash column, where there are more: the first `want` in the order of the
+    hash are taken from these, so that no task gathers that many from each part of the table."""
+    share = min(1.0, 4 * want / max(1, total))
+    return rows.filter(F.pmod(F.col(h), F.lit(1 << 31)) < int(share * (1 << 31)) + 1)
+
+
 def components(stage: Staging, edges: DataFrame, kind: str = "bigint") -> DataFrame:
     """(node, comp) for every node of the edges (a, b); comp is the smallest node reachable.
 

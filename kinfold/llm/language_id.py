@@ -109,9 +109,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A network fitted on at most per_language labelled rows of each language outside the held-out ones, picked by the hash of
     their id, and at most most_windows windows of each. Rows with null or empty texts teach nothing."""
     rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    rows = rows.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= per_language).drop("_n")
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
+    counts = rows.groupBy("lang").count()  # a row for each language
+    share = F.least(F.lit(1.0), 4 * per_language / F.col("count"))
+    # about four times as many by the hash, so that no task gathers that many from each part of the table
+    rows = rows.join(F.broadcast(counts), "lang").filter(F.pmod("h", F.lit(1 << 31)) <= share * (1 << 31))
+    by = Window.partitionBy("lang").orderBy("h", "id")
+    rows = rows.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= per_language).select("id", "lang")
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "id").toPandas()
     sample = sample[sample.text.notna()].sort_values(["id", "text"])
     if sample.empty:
