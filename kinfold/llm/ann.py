@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Staging
+from .common import Staging, thinned
 
 #: Vectors in a block of a list and queries in a block; a pair of blocks is one group of a task.
 BLOCK = 2048
@@ -137,7 +137,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     low = ok.select("id", "v", F.row_number().over(Window.partitionBy("v").orderBy("id")).alias("r")).filter(F.col("r") <= k + 1)
     low = stage.cut(low.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "distinct")
     n = low.count()
-    fit = low.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).toPandas()
+    fit = thinned(low.select("v", F.xxhash64("v").alias("h")), "h", sample, n).orderBy("h").limit(sample).toPandas()
     x = np.stack(fit.v.to_numpy())
     del fit
     graph = CentroidGraph(balanced_centroids(x, max(1, round(list_size * len(x) / n)) if n > sample else list_size))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thinned
+
 BUCKETS = 1 << 16
 
 
@@ -163,9 +165,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         return Scorer(0.5, None, None)
     prior, table = fit_labellers(patterns[[*LABELLERS]].to_numpy(), patterns["n"].to_numpy(float))
     h = F.xxhash64("doc_id", "text")
-    picked = d.filter(F.trim("text") != "").select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(sample)
+    some = d.filter(F.trim("text") != "").select("doc_id", h.alias("h"))
+    picked = thinned(some, "h", sample, int(patterns["n"].sum())).orderBy("h", "doc_id").limit(sample)
     train = d.withColumn("h", h).join(F.broadcast(picked), "h", "left_semi").dropDuplicates(["h"]).toPandas().sort_values("h")
-    train = train[train.text.map(lambda t: bool(t.split()))]
+    train = train[train.text.map(lambda t: bool(t.split())).astype(bool)]
     votes = np.array([labellers(t, t.split()) for t in train.text]).reshape(-1, len(LABELLERS))
     return Scorer(prior, table, fit_linear(list(train.text), posterior(votes, prior, table)) if len(train) else None)
 
