@@ -124,13 +124,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = p.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).withColumn("u", union)
         least = F.element_at(F.array(*[F.lit(least_shared(i, sim)) for i in range(1, k + 1)]), F.size("u"))
         p = p.filter(F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u")) >= least).select("a", "b", "na", "nb")
-        p = stage.cut(p.distinct(), "candidates")
+        p = stage.cut(p, "candidates")
         if p.isEmpty():
             return p.select("a", "b")
         p = p.join(full.select(F.col("node").alias("a"), F.col("n").alias("ma"), F.col("hashes").alias("fa")), "a").join(full.select(F.col("node").alias("b"), F.col("n").alias("mb"), F.col("hashes").alias("fb")), "b")
         p = p.filter("ma - na = 0 and mb - nb = 0")  # as an equality it would become a join key, for which the sets would be shuffled
         both = F.size(F.array_intersect("fa", "fb"))
-        out = stage.cut(p.withColumn("i", both).filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b").distinct(), "verified")
+        out = stage.cut(p.withColumn("i", both).filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"), "verified")
         return out
 
     def crowd(members: DataFrame) -> DataFrame:
