@@ -44,9 +44,10 @@ def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     hashes = _folded(lambda acc, t: F.sha2(F.concat(F.when(F.size(acc) > 0, last(acc)).otherwise(F.lit("")), turn(t)), 256))
     conv = stage.cut(conv.select("conv_id", "turns", F.size("turns").alias("n_turns"), hashes.alias("hashes")), "conversations")
     whole = conv.select("conv_id", "n_turns", F.element_at("hashes", -1).alias("h"))
-    reps = whole.groupBy("n_turns", "h").agg(F.min("conv_id").alias("rep_id"))
+    reps = stage.cut(whole.groupBy("n_turns", "h").agg(F.min("conv_id").alias("rep_id")), "classes")
     prefix = conv.select(F.explode(F.slice("hashes", F.lit(1), F.col("n_turns") - 1)).alias("h")).distinct()
     top = reps.join(prefix, "h", "left_anti").select("h", F.lit(True).alias("top"))
-    facts = whole.join(reps, ["h", "n_turns"]).join(top, "h", "left").select("conv_id", "rep_id", (F.coalesce("top", F.lit(False)) & F.col("conv_id").eqNullSafe(F.col("rep_id"))).alias("kept"))
-    out = conv.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))).join(facts.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("key"), "rep_id", "kept"), "key")
+    known = stage.cut(reps.join(top, "h", "left"), "known")  # joined to the conversations as a table, so that Spark can split a hash that many have
+    facts = whole.join(known, ["h", "n_turns"]).select("conv_id", "rep_id", (F.coalesce("top", F.lit(False)) & F.col("conv_id").eqNullSafe(F.col("rep_id"))).alias("kept"))
+    out = conv.withColumn("key", F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n"))).join(facts.select(F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n")).alias("key"), "rep_id", "kept"), "key")
     return out.select("conv_id", F.col("n_turns").cast("bigint").alias("n_turns"), "kept", "rep_id", F.when(F.col("kept"), render("turns")).alias("rendered"))
