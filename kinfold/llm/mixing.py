@@ -51,34 +51,33 @@ def pfair(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def plan(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[tuple[str, int, int, int, int, list[tuple[int, int, int, int]]]]:
-    """(source, phase, first block, first slot, parts, table) with table entries (block, release, deadline, slot) of one period.
+def plan(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[tuple]:
+    """(source, phase, first block, first slot, parts, blocks dealt, period, table) with table entries (block, release, deadline,
+    slot) of one period.
 
     All blocks are dealt. A phase ends when a source runs out; the rest share the slots in the same proportions from then on.
     There are at most as many phases as sources."""
-    left, done, slot, phase, out = dict(blocks), dict.fromkeys(blocks, 0), 0, 0, []
-    left = {s: n for s, n in left.items() if n > 0}
+    left, done, slot, phase, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, 0, []
     while left:
         parts = shares({s: weights[s] for s in left}, max(period, 4 * len(left)))
-        order = pfair(parts)
+        order, length = pfair(parts), sum(parts.values())
         full = min(left[s] // parts[s] for s in left)  # whole periods for all
-        taken, stop, end = {s: full * parts[s] for s in left}, {}, len(order)
-        for t, (s, *_rest) in enumerate(order):  # the period in which a source runs out
+        taken, end = {s: full * parts[s] for s in left}, length
+        for t, (s, *_) in enumerate(order):  # the period in which a source runs out
             if taken[s] == left[s]:
                 end = t
                 break
             taken[s] += 1
         table: dict[str, list] = {s: [] for s in left}
-        for s, j, r, d, t in order:
-            table[s].append((j, r, d, t))
+        for s, *entry in order:
+            table[s].append(tuple(entry))
         for s in sorted(left):
             if taken[s]:
-                out.append((s, phase, done[s], slot, parts[s], taken[s], sum(parts.values()), table[s]))
+                out.append((s, phase, done[s], slot, parts[s], taken[s], length, table[s]))
             done[s] += taken[s]
             left[s] -= taken[s]
-        slot += full * sum(parts.values()) + end
+        slot += full * length + end
         left, phase = {s: n for s, n in left.items() if n > 0}, phase + 1
-        del stop
     return out
 
 
