@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -11,13 +12,17 @@ from pyspark.sql import functions as F
 from ..model import Dictionary, Entity, FilteredEntity, MergedEntity, ModelError, Property, Relation
 
 
+#: Rows, or what makes them when they are first read.
+Rows = DataFrame | Callable[[], DataFrame]
+
+
 @dataclass(frozen=True)
 class Binding:
     """Where a relation's edges are: in a foreign key column of one side (`holder` is source or target), or in a link table."""
 
     holder: str = ""
     column: str = ""
-    links: DataFrame | None = None
+    links: Rows | None = None
 
 
 @dataclass(frozen=True)
@@ -40,19 +45,27 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.entities: dict[str, Entity | FilteredEntity | MergedEntity] = {}
-        self.frames: dict[str, DataFrame] = {}
+        self.frames: dict[str, tuple[Rows, str]] = {}
         self.relations: dict[str, Relation] = {}
         self.bindings: dict[str, Binding] = {}
         self.dictionaries: dict[str, Dictionary] = {}
 
     # declarations
 
-    def entity(self, decl: Entity, df: DataFrame, key: str = "id") -> Catalog:
+    def entity(self, decl: Entity, df: Rows, key: str = "id") -> Catalog:
         """Bind an entity; its rows get a column `id` from `key`. Columns that are not declared stay readable, with their types."""
         self.entities[decl.name] = decl
-        self.frames[decl.name] = df if key == "id" else df.withColumn("id", F.col(key))
+        self.frames[decl.name] = (df, key)
         return self
 
+    def frame(self, name: str) -> DataFrame:
+        df, key = self.frames[name]
+        if callable(df) or key != "id":
+            df = df() if callable(df) else df
+            df = df if key == "id" else df.withColumn("id", F.col(key))
+            self.frames[name] = (df, "id")
+        return df
+
     def view(self, decl: FilteredEntity | MergedEntity) -> Catalog:
         for name in (decl.base,) if isinstance(decl, FilteredEntity) else decl.inputs:
             if name != decl.name and name not in self.entities:
@@ -67,7 +80,7 @@ class Catalog:
             raise
         return self
 
-    def relation(self, decl: Relation, fk: tuple[str, str] | None = None, links: DataFrame | None = None) -> Catalog:
+    def relation(self, decl: Relation, fk: tuple[str, str] | None = None, links: Rows | None = None) -> Catalog:
         """Bind a relation by fk=("source" or "target", column of that side) or by links (source, target, id?, properties)."""
         if decl.base:
             if decl.base not in self.relations:
@@ -77,8 +90,6 @@ class Catalog:
         if (fk is None) == (links is None):
             raise ModelError(f"{decl.name}: give a foreign key or links")
         self.relations[decl.name] = decl
-        if links is not None and "id" not in links.columns:
-            links = links.withColumn("id", F.concat_ws("-", F.col("source").cast("string"), F.col("target").cast("string")))
         self.bindings[decl.name] = Binding(*fk) if fk else Binding(links=links)
         return self
 
@@ -89,8 +100,8 @@ class Catalog:
             r = self.relations[name]
             if (r.source, r.target, r.type) != (first.source, first.target, first.type):
                 raise ModelError(f"{decl.name}: {name} differs in its ends or cardinality")
-        parts = [self.links(self.relations[n]).withColumn("__type", F.lit(n)) for n in inputs]
-        return self.relation(decl, links=reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+        part = lambda n: self.links(self.relations[n]).withColumn("__type", F.lit(n))
+        return self.relation(decl, links=lambda: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(part, inputs)))
 
     def dictionary(self, decl: Dictionary) -> Catalog:
         self.dictionaries[decl.name] = decl
@@ -177,7 +188,7 @@ class Catalog:
                 part = part.select(*keep)
                 parts.append(part if "__type" in part.columns else part.withColumn("__type", F.lit(n)))
             return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        return self.frames[name].filter(F.col("id").isNotNull())
+        return self.frame(name).filter(F.col("id").isNotNull())
 
     def links(self, r: Relation) -> DataFrame:
         """(id, source, target, properties) of a relation, predicates of filtered relations applied."""
@@ -189,7 +200,11 @@ class Catalog:
             return restrict_links(self, base, self.links(base), Match.of(r.match))
         b = self.bindings[r.name]
         if b.links is not None:
-            return b.links
+            links = b.links() if callable(b.links) else b.links
+            if "id" not in links.columns:
+                links = links.withColumn("id", F.concat_ws("-", F.col("source").cast("string"), F.col("target").cast("string")))
+            self.bindings[r.name] = replace(b, links=links)
+            return links
         holder = r.source if b.holder == "source" else r.target
         rows = self.scan(holder).filter(F.col(b.column).isNotNull())
         me, other = F.col("id"), F.col(b.column)
@@ -207,7 +222,7 @@ class Catalog:
         """The same catalog over other rows of one entity: a later snapshot."""
         out = Catalog(self.spark)
         out.__dict__ |= {k: dict(v) if isinstance(v, dict) else v for k, v in self.__dict__.items()}
-        out.frames[name] = df
+        out.frames[name] = (df, "id")
         return out
 
     def with_links(self, name: str, links: DataFrame) -> Catalog:
