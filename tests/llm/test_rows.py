@@ -182,11 +182,11 @@ def test_line_dedup(spark):
     got = {x["doc_id"]: x for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("n_lines", F.lit(-1)).withColumn("_dk", F.lit("keep"))).collect()}
     norm = lambda s: " ".join(re.findall(r"[a-z]+", s.lower()))
     forms = sorted({norm(x) for _, t in docs for x in (t or "").split("\n") if len(norm(x).split()) >= 5})
-    hashed = {w: h for w, h in spark.createDataFrame([(w,) for w in vocab], "w string").select("w", F.xxhash64("w")).collect()}
+    hashed = {w: h for w, h in spark.createDataFrame([(w,) for w in [*vocab, "ab", "cd", "ef"]], "w string").select("w", F.xxhash64("w")).collect()}
     sim = {}
     for f in forms:
         long = [w for w in f.split() if len(w) > 3]
-        sim[f] = brute_simhash([hashed[w] for w in (long if len(long) >= 5 else f.split())])
+        sim[f] = brute_simhash([hashed[w] for w in set(long if len(long) >= 5 else f.split())])
     comp = {f: f for f in forms}
     for _ in forms:
         before = dict(comp)
