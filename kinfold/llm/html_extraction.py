@@ -26,7 +26,9 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 # Names that mark what surrounds a text.
 AROUND = frozenset("ad ads adv advert adverts advertisement advertising adsense alert aside banner breadcrumb breadcrumbs captcha comment comments commentlist consent contentinfo complementary cookie cookies dialog discussion disqus foot footer form gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promotion promoted rail recommended recommendations register related replies reply respond search share sharebar sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar trending widget widgets".split())
-HEAD = frozenset("header hdr head".split())
+#: Parts of names that say the same wherever they stand.
+STEMS = re.compile("sidebar|navbar|navigation|cookie|advert|comments|footer|newsletter|breadcrumb|banner|popup|subscribe|sponsor|masthead|(?:nav|menu)$")
+HEAD = frozenset("header hdr head siteheader pageheader topheader".split())
 MAIN = frozenset("article main".split())
 CONTAINERS = frozenset("html body div section center td".split())
 DROPPED = frozenset("head nav aside footer form button dialog menu object audio video canvas map title".split())
@@ -45,9 +47,10 @@ def kind(sig: str) -> str:
     """main, around, head (a header, to be kept inside an article) or empty, by the names in a signature."""
     tag, _, rest = sig.partition(" ")
     names = {w for v in re.findall(r"\w=([^=]*)(?= \w=|$)", rest) for w in re.split(r"[^a-z]+", v)}
-    if tag in MAIN or ("main" in names and "r=main" in rest):
+    around = bool(names & AROUND or any(map(STEMS.search, names)))
+    if (tag in MAIN and not around) or ("main" in names and "r=main" in rest):
         return "main"
-    if tag in DROPPED or names & AROUND:
+    if tag in DROPPED or around:
         return "around"
     if tag == "header" or (names & HEAD and not names & {"article", "entry", "post", "story", "content", "title"}):
         return "head"
@@ -195,7 +198,7 @@ def expression(node: list) -> str:
 
 def rules(wrapper: list) -> dict:
     """What a wrapper says about a host: `main`, paths under which the article stands; `fixed`, texts that never differ; `links`, paths of lists of links."""
-    fixed, links, mains, mass = [], [], [], {}
+    fixed, links, mains, inner, mass = [], [], [], [], {}
     pages = wrapper[3]
 
     def has_main(n: list) -> bool:
@@ -214,8 +217,8 @@ def rules(wrapper: list) -> dict:
         k = kind(n[0]) if n[0] else ""
         if (k == "around" or (k == "head" and not inside)) and not has_main(n):
             return 0.0
-        if k == "main" and not inside:
-            mains.append(here)
+        if k == "main":
+            (inner if inside else mains).append(here)
         total = sum(walk(c, here, inside or k == "main") for c in n[4])
         mass[here] = mass.get(here, 0) + total
         return total
@@ -224,6 +227,9 @@ def rules(wrapper: list) -> dict:
     if mains:  # of several, those with a fair share of the text
         top = max(mass.get(p, 0) for p in mains)
         mains = [p for p in mains if mass.get(p, 0) >= 0.2 * top]
+        # an article inside a main element, if it has most of it
+        better = lambda p: [q for q in inner if q[: len(p)] == p and q[-1].startswith("article") and mass[q] >= 0.5 * mass[p]]
+        mains = [q for p in mains for q in ((p[-1].startswith("main") and better(p)[:1]) or [p])]
     elif mass:  # the deepest container that holds most of what differs from page to page
         good = [p for p, m in mass.items() if m >= 0.6 * max(total, 1e-9) and (not p or p[-1].partition(" ")[0] in CONTAINERS)]
         mains = [max(good, key=len)] if good else [()]
@@ -236,11 +242,12 @@ def main_text(found: list[tuple[tuple[str, ...], str, int]], rule: dict) -> str:
 
     def keep(at: tuple[str, ...], text: str, in_main: bool) -> bool:
         inside = False
-        last_main = max((i for i, s in enumerate(at) if kind(s) == "main"), default=-1)
+        # parts are told from the article on, so that an article may stand in a form
+        start = next((len(m.split("/")) - 1 for m in mains if m and "/".join(at[: len(m.split("/"))]) == m), next((i for i, s in enumerate(at) if kind(s) == "main"), -1))
         for i, s in enumerate(at):
             k = kind(s)
             inside = inside or k == "main"
-            if i > last_main and (k == "around" or (k == "head" and not inside)):
+            if i > start and (k == "around" or (k == "head" and not inside)):
                 return False
         path = "/".join(at)
         if in_main and not any(path == m or path.startswith(f"{m}/") or not m for m in mains):
