@@ -12,6 +12,7 @@ from ..model import Entity, ModelError, Property, spark_type
 from ..plans.compiler import restrict
 from ..plans.match import Match
 from ..sources.catalog import Catalog
+from ..sources.shared import shared_folder
 
 
 class ConstraintError(ModelError):
@@ -26,6 +27,9 @@ def allocate_ids(current: DataFrame, new: DataFrame, order: list[str], key: str
     """new with ids that follow the largest one in use. Numbers are dealt per partition after one count of each, not by one sorted task."""
     parts = new.drop(key) if key in new.columns else new
     parts = parts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    path, kind = shared_folder(parts.sparkSession, "ids"), parts.schema  # a table, as another run may place rows elsewhere
+    parts.write.parquet(path)
+    parts = parts.sparkSession.read.schema(kind).parquet(path)
     sizes = parts.groupBy("_p").count()
     base = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each partition
     top = current.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))

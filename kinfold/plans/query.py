@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import ModelError
 from ..sources.catalog import Catalog, End
+from ..sources.shared import shared_folder
 from .compiler import column, fk_of, hop_rows, join_hop, many_paths, name_of, oriented_links, resolve, restrict, restrict_links
 from .match import LINK, Atom, Match
 
@@ -232,15 +233,18 @@ def traverse(cat: Catalog, entity: str, prop: str, start: Any = None, max_depth:
     step = cat.scan(entity).filter(F.col(fk[1]).isNotNull()).select(F.col("id").alias("_from"), F.col(fk[1]).alias("_to")) if fk and fk[0] == "here" else hop_rows(cat, end, False).select(F.col("_src").alias("_from"), F.col("id").alias("_to"))
     roots = cat.scan(entity) if start is None else restrict(cat, entity, cat.scan(entity), Match.of(start))
     level = roots.select(F.col("id").alias("root"), F.lit(0).alias("depth"), "id", F.array("id").alias("path"))
-    out = level
-    for _ in range(max_depth):
+    # each level is a table, so that neither the plan nor the work grows with the depth
+    spark, folder, kind, parts = cat.spark, shared_folder(cat.spark, "traverse"), level.schema, []
+    for d in range(max_depth + 1):
+        parts.append(f"{folder}/level-{d:03d}")
+        level.write.parquet(parts[-1])
+        level = spark.read.schema(kind).parquet(parts[-1])
+        if d == max_depth or level.isEmpty():
+            break
         go = level if stop is None else level.filter(~F.coalesce(stop({"path": F.col("path"), "depth": F.col("depth"), "id": F.col("id")}), F.lit(False)))
         level = go.join(step, F.col("id") == F.col("_from")).filter(~F.array_contains("path", F.col("_to")))
         level = level.select("root", (F.col("depth") + 1).alias("depth"), F.col("_to").alias("id"), F.concat("path", F.array("_to")).alias("path"))
-        if level.isEmpty():
-            return out
-        out = out.unionAll(level)
-    return out
+    return spark.read.schema(kind).parquet(*parts)
 
 
 def find_path(cat: Catalog, entity: str, prop: str, start: Any, goal: Any, max_depth: int = 32) -> DataFrame:
