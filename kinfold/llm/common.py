@@ -47,12 +47,14 @@ class Staging:
         known = f"kinfold_{name}_{uuid.uuid4().hex}"
         df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(known)
         out = self.spark.table(known)
-        out.staged_at = path
+        out.staged_at, out.known_as = path, known
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Remove tables that nothing reads any more."""
         for f in frames:
+            if hasattr(f, "known_as"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {f.known_as}")
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f.staged_at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -158,6 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return first.unionAll(second).groupBy("c1", "b1", "c2", "b2").applyInPandas(lambda p: _block_links(p, percent), "a bigint, b bigint").distinct()
 
     label = bucket_links(stage, lists, verify, crowd=crowd)
+    stage.drop(full)
     found = reps.join(label, "node", "left").select("h1", "h2", "n", F.coalesce("comp", "node").alias("component_id"))
     ids = sig.join(found, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return ids
