@@ -168,6 +168,23 @@ def distance(a, b):
     return last[-1]
 
 
+def test_edit_similarity(spark):
+    r = random.Random(8)
+    rows = []
+    for _ in range(300):
+        a = words(r, r.randrange(1, 14), 9)
+        b = list(a)
+        for _ in range(r.randrange(0, 4)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(2)] = words(r, r.randrange(2), 30)
+        if b:
+            rows.append((" ".join(a), " ".join(b)))
+    df = spark.createDataFrame(rows, "ta string, tb string")
+    df = df.select("*", F.split("ta", " ").alias("wa"), F.split("tb", " ").alias("wb"), F.length("ta").alias("na"), F.length("tb").alias("nb"))
+    for x in df.select("ta", "tb", line_dedup.similar(0.8).alias("ok")).collect():
+        assert x["ok"] == (distance(x["ta"], x["tb"]) <= int(max(len(x["ta"]), len(x["tb"])) * 0.2 + 1e-9)), x
+
+
 def test_line_dedup(spark):
     import re
 
