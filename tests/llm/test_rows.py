@@ -241,6 +241,34 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).isEmpty()
 
 
+def test_line_dedup_finds_edited_lines(spark):
+    """Groups by edit similarity alone: lines of real words with words replaced, put in or taken out."""
+    r = random.Random(12)
+    vocab = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randrange(2, 10))) for _ in range(900)]
+    lines = []
+    for _ in range(60):
+        base = [r.choice(vocab) for _ in range(r.choice([7, 10, 20, 45]))]
+        lines.append(" ".join(base))
+        for _ in range(2):
+            w = list(base)
+            for _ in range(1 + len(w) // 15):
+                k = r.randrange(len(w))
+                w[k : k + r.randrange(2)] = [r.choice(vocab)]
+            lines.append(" ".join(w))
+    near = lambda a, b: distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+    comp = {x: x for x in lines}
+    for a in lines:
+        for b in lines:
+            if a < b and comp[a] != comp[b] and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and len(set(a.split()) & set(b.split())) > 2 and near(a, b):
+                old, new = comp[b], comp[a]
+                comp = {k: new if v == old else v for k, v in comp.items()}
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()
+    left = [lines[x["doc_id"]] for x in out if not x["n_removed"]]
+    want = len(set(comp.values()))
+    assert want < 0.5 * len(lines) and {comp[x] for x in left} == set(comp.values())
+    assert len(lines) - len(left) >= 0.95 * (len(lines) - want)
+
+
 def test_chat(spark):
     t = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (2, 2, "user", "more"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, "user", "more"), (4, 0, "user", "hi\x1fbot"), (5, 0, None, None), (5, 0, None, None), (None, 0, "user", "lone"), (6, None, "user", "hi")]
     got = {r["conv_id"]: r for r in chat.maximal_conversations(spark.createDataFrame(t, "conv_id bigint, turn bigint, role string, text string").withColumn("h", F.lit(0))).collect()}
