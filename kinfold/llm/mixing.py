@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fractions import Fraction
 from heapq import heappop, heappush
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Staging
+from .common import Staging, few_ids
 
-#: Target weights are held as whole parts of this many slots, after which a schedule repeats.
-PERIOD = 1024
+#: Blocks in a piece of the plan.
+DEALS = 200_000
 #: Rows in a chunk and chunks in a span of the running sums.
 CHUNK_ROWS, SPAN_CHUNKS = 256, 4096
 #: Sources that the driver plans for.
@@ -27,58 +32,63 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def pfair(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of one period of sum(parts) slots.
+def pfair(parts: dict[str, int], periods: int = 1) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of so many periods of sum(parts) slots.
 
     Block j of a source with weight w has the window [floor(j / w), ceil((j + 1) / w)). Each slot goes to the released block of
     the earliest deadline (ties: longer blocks of deadlines first by weight, then name). The weights sum to one, so every block
     meets its deadline: at any time a source has had less than one block more or less than its weight times the time.
     """
-    period, ready, out = sum(parts.values()), [], []
+    period, ready, t = sum(parts.values()), [], 0
     window = lambda s, j: (j * period // parts[s], -((j + 1) * -period // parts[s]))
     coming: dict[int, list[tuple[str, int]]] = {0: [(s, 0) for s in sorted(parts)]}
-    for t in range(period):
+    while t < period * periods:
         for s, j in coming.pop(t, ()):
             heappush(ready, (window(s, j)[1], -parts[s], s, j))
         d, _, s, j = heappop(ready)
-        out.append((s, j, window(s, j)[0], d, t))
-        if j + 1 < parts[s]:
+        yield s, j, window(s, j)[0], d, t
+        if j + 1 < parts[s] * periods:
             r = window(s, j + 1)[0]
             if r <= t:  # released already
                 heappush(ready, (window(s, j + 1)[1], -parts[s], s, j + 1))
             else:
                 coming.setdefault(r, []).append((s, j + 1))
-    return out
+        t += 1
+
+
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
 
 
-def plan(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[tuple]:
-    """(source, phase, first block, first slot, parts, blocks dealt, period, table) with table entries (block, release, deadline,
-    slot) of one period.
+def plan(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of every block, in the order of the slots.
 
-    All blocks are dealt. A phase ends when a source runs out; the rest share the slots in the same proportions from then on.
-    There are at most as many phases as sources."""
-    left, done, slot, phase, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, 0, []
+    All blocks are dealt. A phase ends when a source runs out; the rest share the slots in the same proportions from then on, with
+    windows that start there. Sources of no weight share what is left when the others have run out. There are at most as many
+    phases as sources. The weights are exact, so within a phase no error adds up. What is held is a few numbers for each source."""
+    left, done, slot = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0
     while left:
-        parts = shares({s: weights[s] for s in left}, max(period, 4 * len(left)))
-        order, length = pfair(parts), sum(parts.values())
-        full = min(left[s] // parts[s] for s in left)  # whole periods for all
-        taken, end = {s: full * parts[s] for s in left}, length
-        for t, (s, *_) in enumerate(order):  # the period in which a source runs out
-            if taken[s] == left[s]:
-                end = t
+        parts = whole({s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1))
+        first, start = dict(done), slot
+        for s, j, release, deadline, t in pfair(parts, max(left.values()) + 1):
+            yield s, first[s] + j, start + release, start + deadline, start + t
+            done[s], left[s], slot = done[s] + 1, left[s] - 1, slot + 1
+            if not left[s]:
+                del left[s]
                 break
-            taken[s] += 1
-        table: dict[str, list] = {s: [] for s in left}
-        for s, *entry in order:
-            table[s].append(tuple(entry))
-        for s in sorted(left):
-            if taken[s]:
-                out.append((s, phase, done[s], slot, parts[s], taken[s], length, table[s]))
-            done[s] += taken[s]
-            left[s] -= taken[s]
-        slot += full * length + end
-        left, phase = {s: n for s, n in left.items() if n > 0}, phase + 1
-    return out
+
+
+def deal(stage: Staging, blocks: dict[str, int], weights: dict[str, float]) -> DataFrame:
+    """(_t, block, release, deadline, slot): the plan as a table, written in pieces, so that the driver holds one piece."""
+    order, out = plan(blocks, weights), None
+    while piece := list(islice(order, DEALS)):
+        columns = zip(("_t", "block", "release", "deadline", "slot"), zip(*piece))
+        part = stage.cut(stage.spark.createDataFrame(pa.table({k: list(v) for k, v in columns})), "deals")
+        out = part if out is None else out.unionAll(part)
+    return out if out is not None else stage.spark.createDataFrame([], "_t string, block bigint, release bigint, deadline bigint, slot bigint")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block_words: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -117,15 +127,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     base = base.withColumns({"_in": within, "_r": rank}).join(chunks, ["_s", "_c"])
     base = base.withColumn("_b", F.floor((F.col("_in") + F.col("_0")) / block_words))
     low = min(target.values(), default=1)
-    dealt = plan(blocks, {s: target.get(s, low) for s in blocks})
-    rows = [(s, p, first, first + taken, slot, parts, per, [tuple(map(int, e)) for e in table]) for s, p, first, slot, parts, taken, per, table in dealt]
-    kind = "_s string, phase int, b0 bigint, b1 bigint, slot0 bigint, parts bigint, period bigint, deals array<struct<block: bigint, release: bigint, deadline: bigint, slot: bigint>>"
-    # at most sources x phases rows with a period of entries in all: bounded by MOST_SOURCES and PERIOD, not by rows
-    deals = F.broadcast(spark.createDataFrame(rows, kind).withColumnRenamed("_s", "_t"))
+    deals = few_ids(deal(stage, blocks, {s: target.get(s, low) for s in blocks}))
     # a last document without words can start where the last block ends
-    out = base.withColumn("_b", F.least("_b", "_last")).join(deals, (F.col("_s") == F.col("_t")) & (F.col("_b") >= F.col("b0")) & (F.col("_b") < F.col("b1")))
-    n = F.col("_b") - F.col("b0")
-    turn, deal = F.floor(n / F.col("parts")) * F.col("period"), F.get("deals", (n % F.col("parts")).cast("int"))
-    at = lambda k: (F.col("slot0") + turn + deal[k]).cast("bigint").alias(k)
+    out = base.withColumn("_b", F.least("_b", "_last")).join(deals, (F.col("_s") == F.col("_t")) & (F.col("_b") == F.col("block")))
+    at = lambda k: deals[k].cast("bigint").alias(k)
     pos = (F.col("_c") * (1 << 20) + F.col("_r")).cast("bigint").alias("mix_pos")
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in names], F.col("_b").cast("bigint").alias("source_block"), at("release"), at("deadline"), at("slot"), pos)

@@ -289,6 +289,21 @@ def test_pfair():
         assert got == parts
 
 
+def test_plan_keeps_to_the_weights():
+    """Over many thousand slots every source stays within a block of its exact weight."""
+    r = random.Random(4)
+    for weights in ({f"s{i}": (0.5 if i else 9.5) ** 0.5 for i in range(20)}, {"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{i}": r.random() ** 3 + 1e-3 for i in range(12)}):
+        total, got = sum(weights.values()), dict.fromkeys(weights, 0)
+        blocks = {s: int(9000 * w / total) + 5 for s, w in weights.items()}
+        for s, block, release, deadline, t in mixing.plan(blocks, weights):
+            assert block == got[s] and release <= t < deadline
+            got[s] += 1
+            if t < 8000:
+                assert max(abs(got[x] - (t + 1) * weights[x] / total) for x in weights) < 1 + 1e-9
+        assert got == blocks
+    assert [(s, t) for s, _, _, _, t in mixing.plan({"a": 2, "b": 1}, {"a": 1, "b": 0})] == [("a", 0), ("a", 1), ("b", 2)]
+
+
 def test_mixing(spark):
     r = random.Random(9)
     docs = [(i, " ".join(words(r, r.randrange(0, 30))), r.choice(["a", "a", "a", "b", None]), i) for i in range(700)] + [(1, None, "c", 1), (2, "", "c", 2), (2, "", "c", 2), (None, "x y", "b", 0)]
