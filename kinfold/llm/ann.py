@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import Staging, thinned
 
+#: Lists that a query visits at least.
+LEAST_LISTS = 16
 #: Vectors in a block of a list and queries in a block; a pair of blocks is one group of a task.
 BLOCK = 2048
 
@@ -118,8 +120,9 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
 
     Centroids are fitted on at most `sample` distinct vectors picked by hash; every vector is indexed. A vector goes to its nearest
     list and to others whose centroid is within `boundary` times that distance and not nearer to a list it has already, up to `copies`. A
-    query visits the lists whose centroid is within `query_ratio` times its nearest one's distance, up to most_lists. Lists are searched whole, in
-    blocks of a bounded size. Distances are computed in double precision on the vectors as given.
+    query visits the LEAST_LISTS nearest lists and those whose centroid is within `query_ratio` times the distance of the second nearest
+    one (a query may be a centroid itself), up to most_lists, and further ones, nearest first, until k + 1 distinct ids are in them or
+    none is left. Lists are searched whole, in blocks of a bounded size. Distances are computed in double precision on the vectors as given.
 
     Equal vectors are indexed once, with their k + 1 smallest ids: no other of their ids can be among k nearest. Rows with a null id
     or an unusable vector (null, empty, zero, with null or non-finite components, or of another length than most) take no part. With fewer than k candidates a query gets all that is found.
@@ -147,7 +150,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
             for at in range(0, len(p), 512):
                 q = p.iloc[at : at + 512]
                 ids, d = graph.search(np.stack(q.v.to_numpy()), 4 * copies, 64)
-                d, rows = np.sqrt(d), {"v": [], "ids": [], "list": []}
+                d, rows = np.sqrt(d), {"v": [], "ids": [], "list": [], "first": []}
                 for i, (v, own) in enumerate(zip(q.v, q.ids)):
                     got: list[int] = []
                     for c, dist in zip(ids[i], d[i]):
@@ -158,6 +161,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
                     rows["v"] += [v] * len(got)
                     rows["ids"] += [own] * len(got)
                     rows["list"] += got
+                    rows["first"] += [len(own)] + [0] * (len(got) - 1)
                 yield pd.DataFrame(rows)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,11 +169,21 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
             for at in range(0, len(p), 512):
                 q = p.iloc[at : at + 512]
                 ids, d = graph.search(np.stack(q.v.to_numpy()), most_lists, 2 * most_lists)
-                near = np.isfinite(d) & (d <= query_ratio**2 * d[:, :1] + 1e-12)
+                near = np.isfinite(d) & ((d <= query_ratio**2 * d[:, min(1, d.shape[1] - 1)][:, None] + 1e-12) | (np.arange(d.shape[1]) < LEAST_LISTS))
                 i, j = np.nonzero(near)
                 yield pd.DataFrame({"v": q.v.to_numpy()[i], "list": ids[i, j]})
-
-    lists = stage.cut(low.mapInPandas(assign, f"v array<double>, ids array<{kind}>, list int"), "lists")
+                for r in np.flatnonzero((held[ids] * near).sum(1) <= k):  # too few candidates
+                    order = np.argsort(((graph.c - np.asarray(q.v.iloc[r], np.float32)) ** 2).sum(1), kind="stable")
+                    order = order[~np.isin(order, ids[r, near[r]])]
+                    more = order[: int(np.searchsorted(np.cumsum(held[order]), k + 1 - held[ids[r, near[r]]].sum())) + 1]
+                    if len(more):
+                        yield pd.DataFrame({"v": [q.v.iloc[r]] * len(more), "list": more.astype(ids.dtype)})
+
+    lists = stage.cut(low.mapInPandas(assign, f"v array<double>, ids array<{kind}>, list int, first int"), "lists")
+    # the ids whose nearest list it is: no id counts twice
+    held = np.zeros(len(graph.c), np.int64)
+    for r in lists.groupBy("list").agg(F.sum("first").alias("n")).collect():  # a row for each list
+        held[r["list"]] = r["n"]
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     asked = ok.filter(F.col("id") % every == 0)
     distinct = stage.cut(asked.select("v").distinct(), "queries")

@@ -351,6 +351,25 @@ def test_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).isEmpty()
 
 
+def test_neighbours_of_outliers(spark):
+    """A query that is a centroid of its own, far from all others, gets its neighbours."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(600, 8))
+    x[0] *= 500
+    x[100] = 40
+    docs = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for q in ann.nearest(docs, list_size=1).collect():
+        got.setdefault(q["query_id"], []).append((q["rank"], q["vec_id"]))
+    for q in range(0, 600, 100):
+        assert [m[0] for m in sorted(got[q])] == list(range(1, 11))
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        best = {i for _, i in sorted((d[i], i) for i in range(600) if i != q)[:10]}
+        assert len(best & {m[1] for m in got[q]}) >= 8
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><div class="nav-bar"><a href=x>Home %s</a></div>
 <div id="cookie">We use cookies</div><div class="wrap"><h1>Title %s</h1><p>First %s&amp;<b>bold</b> text<p>Second   &eacute; %s<br>line</p><!-- no <p>x</p> --><div class="share">Share</div></div>
 <aside><p>Other %s</p></aside><section class="comments"><p>Reader %s says a lot of things here and there and on</p></section><form><input><p>Mail</p></form><p>Same on all pages</p></body></html>"""
