@@ -13,6 +13,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Ids are broadcast up to so many rows (about 16 MB); more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Buckets go on to all their pairs once there are no more than so many for each member.
+FEW_PAIRS = 8
 #: Where spark.checkpoint.dir is unset (tests, a single machine).
 LOCAL_SHARED = "/tmp/checkpoints/kinfold"
 
@@ -28,15 +30,16 @@ class Staging:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.here = 0, []
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back: its lineage ends there."""
+    def cut(self, df: DataFrame, name: str, plain: bool = False) -> DataFrame:
+        """Write df and read it back: its lineage ends there. plain: columns of hashes, of which no dictionary is worth trying."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", str(not plain).lower()).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.staged_at = path
+        self.here.append(out)
         return out
 
     def bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
@@ -47,6 +50,7 @@ class Staging:
         df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(known)
         out = self.spark.table(known)
         out.staged_at, out.known_as = path, known
+        self.here.append(out)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -56,6 +60,12 @@ class Staging:
                 self.spark.sql(f"DROP TABLE IF EXISTS {f.known_as}")
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f.staged_at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.here = [x for x in self.here if x.staged_at != f.staged_at]
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Remove all tables but these, once the rest is no longer read."""
+        kept = {f.staged_at for f in frames}
+        self.drop(*[x for x in self.here if x.staged_at not in kept])
 
 
 def few_ids(ids: DataFrame) -> DataFrame:
@@ -67,6 +77,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def skewless(stage: Staging, pairs: DataFrame, facts: DataFrame, key: str, most: int) -> DataFrame:
+    """pairs joined with facts, of which each key has one row. A key of over `most` pairs is dealt over several copies of its row, so that
+    no task gets all of them."""
+    hot = stage.cut(pairs.groupBy(key).count().filter(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_n")), "hot")
+    n = hot.count()
+    if not n:
+        return pairs.join(facts, key)
+    hot = F.broadcast(hot) if n <= BROADCAST_IDS else hot
+    other = next(c for c in pairs.columns if c != key)
+    dealt = pairs.join(hot, key, "left").withColumn("_s", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64(other), F.col("_n"))).otherwise(0).cast("int")).drop("_n")
+    copies = facts.join(hot, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    return dealt.join(copies, [key, "_s"]).drop("_s")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else. The built-in lower() serves where a text is all ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
@@ -137,12 +161,13 @@ def bucket_links(stage: Staging, lists: DataFrame, verify: Callable[[DataFrame],
     are made inside a join that has it. verify: keeps the rows of (a, b) that are links.
 
     All pairs of a bucket are not made. A star round tests each member against one centre of its bucket, one of least
-    worth; what links is one component from then on, and a bucket inside one component is done with. After the star rounds,
+    worth; what links is one component from then on, and a bucket inside one component is done with. After up to `stars` rounds,
     members of *different* components that share a bucket are tested, so that no link between components is missed: pair by
-    pair, or, where `crowd` is given, buckets of over `most` members go there. It gets (bucket, node, comp, size) and returns links.
+    pair, in blocks of `most` members against blocks of as many, or, where `crowd` is given, buckets of over `most` members go there. It gets
+    (bucket, node, comp, size) and returns links.
     """
     edges, tested, label = [], [], None
-    lists = stage.cut(lists, "lists")
+    lists = lists if hasattr(lists, "staged_at") else stage.cut(lists, "lists")
 
     def add(found: DataFrame) -> None:
         nonlocal label
@@ -156,19 +181,31 @@ def bucket_links(stage: Staging, lists: DataFrame, verify: Callable[[DataFrame],
         base = label.unionAll(ends.join(label, "node", "left_anti").select("node", F.col("node").alias("comp")))
         label = stage.cut(base.join(more.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
 
-    cur = lists.withColumn("comp", F.col("node"))
+    cur, last = lists.withColumn("comp", F.col("node")), False
+    own = [c for c in cur.columns if c != "bucket"]
+    named = lambda d, k, of="": [F.col(f"{of}{c}").alias(f"{k}_{c}") for c in own]
     for r in range(stars + 1):
-        best = F.min(F.struct(F.floor(F.col("worth") / (1 + 2 * r)).alias("w"), F.xxhash64("node", F.lit(r)).alias("h"), *[c for c in cur.columns if c != "bucket"])).alias("c")
-        open_ = cur.groupBy("bucket").agg(best, F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        named = lambda d, k, of="": d.select("bucket", *[F.col(f"{of}{c}").alias(f"{k}_{c}") for c in cur.columns if c != "bucket"])
-        if r < stars:
-            x, y, on = named(cur, "x"), named(open_, "y", "c."), F.col("x_comp") != F.col("y_comp")
+        if r:  # the members of buckets that are not inside one component yet
+            sizes = cur.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+            cur = stage.cut(cur.join(sizes.select("bucket", "size"), "bucket"), "open")
+            members, left = cur.agg(F.count("*"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)) / 2).first()
+            if not members:
+                break
+            last = r == stars or left <= FEW_PAIRS * members
+        if not last:
+            best = F.min(F.struct(F.floor(F.col("worth") / (1 + 2 * r)).alias("w"), F.xxhash64("node", F.lit(r)).alias("h"), *own)).alias("c")
+            centres = cur.groupBy("bucket").agg(best, F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+            x, y, on = cur.select("bucket", *named(cur, "x")), centres.select(F.col("bucket").alias("other"), *named(centres, "y", "c.")), F.col("x_comp") != F.col("y_comp")
         else:
-            rest = stage.cut(cur.join(open_.select("bucket", "size"), "bucket"), "open")
-            few = rest if crowd is None else rest.filter(F.col("size") <= most)
-            x, y, on = named(few, "x"), named(few, "y"), F.col("x_comp") < F.col("y_comp")
+            few = cur if crowd is None else cur.filter(F.col("size") <= most)
+            # block against block: each block of a bucket meets each
+            blocks = F.ceil(F.col("size") / most).cast("int")
+            mine, all_ = F.pmod(F.xxhash64("node", F.lit(13)), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+            dealt = lambda d, key, k: d.select(F.xxhash64("bucket", "_i", "_j").alias(key), *named(d, k))
+            x, y = dealt(few.withColumn("_i", mine).withColumn("_j", all_), "bucket", "x"), dealt(few.withColumn("_j", mine).withColumn("_i", all_), "other", "y")
+            on = F.col("x_comp") < F.col("y_comp")
         on = (F.col("bucket") == F.col("other")) & on
-        pairs = x.join(y.withColumnRenamed("bucket", "other"), on if within is None else on & within).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+        pairs = x.join(y, on if within is None else on & within).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
         pairs = pairs.distinct()
         if tested:
             pairs = pairs.join(reduce(DataFrame.unionAll, tested), ["a", "b"], "left_anti")
@@ -176,11 +213,14 @@ def bucket_links(stage: Staging, lists: DataFrame, verify: Callable[[DataFrame],
         if not pairs.isEmpty():
             tested.append(pairs)
             add(stage.cut(verify(pairs), "links"))
-        if r == stars:
+        if last:
             if crowd is not None:
-                many = rest.filter(F.col("size") > most)
+                many = cur.filter(F.col("size") > most)
                 if not many.isEmpty():
                     add(stage.cut(crowd(many), "links"))
-        elif label is not None:
-            cur = lists.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            break
+        if label is not None:
+            cur = cur.drop("comp", "size").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        else:
+            cur = cur.drop("size")
     return label if label is not None else stage.spark.createDataFrame([], f"node {kind}, comp {kind}")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import ann, chat, common, decontamination, html_extraction, language_id, line_dedup, mixing, near_dedup, quality, toxicity
+from kinfold.llm import ann, chat, common, decontamination, language_id, mixing, near_dedup, quality, toxicity
 from kinfold.llm.queries import ORACLE_SQL, QUERIES
 from tests.oracle import compare
 
@@ -147,128 +147,6 @@ def test_decontamination_removes_spans(spark):
     assert decontamination.decontaminate(d, spark.createDataFrame([(1, item)], "item_id bigint, text string"), remove="document").count() == 2
 
 
-def brute_simhash(hashes):
-    return sum(1 << b for b in range(63) if sum((x >> b) & 1 for x in hashes) * 2 > len(hashes))
-
-
-def test_simhash(spark):
-    r = random.Random(1)
-    rows = [[r.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 5, 64, 1000)]
-    df = spark.createDataFrame([(i, h) for i, x in enumerate(rows) for h in x], "i int, h bigint")
-    assert [x[1] for x in sorted(line_dedup.simhashes(df, ["i"]).collect())] == [brute_simhash(x) for x in rows]
-
-
-def distance(a, b):
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        last = row
-    return last[-1]
-
-
-def test_edit_similarity(spark):
-    r = random.Random(8)
-    rows = []
-    for _ in range(300):
-        a = words(r, r.randrange(1, 14), 9)
-        b = list(a)
-        for _ in range(r.randrange(0, 4)):
-            k = r.randrange(len(b) + 1)
-            b[k : k + r.randrange(2)] = words(r, r.randrange(2), 30)
-        if b:
-            rows.append((" ".join(a), " ".join(b)))
-    df = spark.createDataFrame(rows, "ta string, tb string")
-    df = df.select("*", F.split("ta", " ").alias("wa"), F.split("tb", " ").alias("wb"), F.length("ta").alias("na"), F.length("tb").alias("nb"))
-    for x in df.select("ta", "tb", line_dedup.similar(0.8).alias("ok")).collect():
-        assert x["ok"] == (distance(x["ta"], x["tb"]) <= int(max(len(x["ta"]), len(x["tb"])) * 0.2 + 1e-9)), x
-
-
-def test_line_dedup(spark):
-    import re
-
-    r = random.Random(6)
-    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(300)]
-    lines = [" ".join(r.choice(vocab) for _ in range(r.choice([3, 6, 20, 70]))) for _ in range(25)]
-    for ln in lines[:15]:
-        w = ln.split()
-        w.insert(r.randrange(len(w)), r.choice(["ab", "cd", "ef"]))
-        lines += [" ".join(w), ln.upper() + "!!"]
-    docs = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(0, 6)))) for i in range(40)] + [(100, None), (101, "")]
-    got = {x["doc_id"]: x for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("n_lines", F.lit(-1)).withColumn("_dk", F.lit("keep"))).collect()}
-    norm = lambda s: " ".join(re.findall(r"[a-z]+", s.lower()))
-    forms = sorted({norm(x) for _, t in docs for x in (t or "").split("\n") if len(norm(x).split()) >= 5})
-    hashed = {w: h for w, h in spark.createDataFrame([(w,) for w in [*vocab, "ab", "cd", "ef"]], "w string").select("w", F.xxhash64("w")).collect()}
-    sim = {}
-    for f in forms:
-        long = [w for w in f.split() if len(w) > 3]
-        sim[f] = brute_simhash([hashed[w] for w in set(long if len(long) >= 5 else f.split())])
-    comp = {f: f for f in forms}
-    for _ in forms:
-        before = dict(comp)
-        for a in forms:
-            for b in forms:
-                if a < b and comp[a] != comp[b] and (sim[a] ^ sim[b]).bit_count() <= 2 and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
-                    old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
-                    comp = {k: new if v == old else v for k, v in comp.items()}
-        if comp == before:
-            break
-    homes = {}
-    for i, t in docs:
-        for x in (t or "").split("\n"):
-            if norm(x) in comp:
-                homes.setdefault(norm(x), i)
-    groups = {}
-    for f in forms:
-        groups.setdefault(comp[f], []).append(f)
-    assert any(len(g) > 1 for g in groups.values())
-    for i, t in docs:
-        if t is None:
-            assert got[i]["text"] is None and got[i]["n_lines"] == 0
-            continue
-        assert got[i]["n_lines"] == len(t.split("\n")) and got[i]["_dk"] == "keep"
-        left = [norm(x) for x in got[i]["text"].split("\n")]
-        for x in t.split("\n"):
-            f = norm(x)
-            if f not in comp:
-                assert f in left
-    # of each group one line is left, in the smallest document that has any of it
-    for g in groups.values():
-        keepers = [(i, f) for i, t in docs for f in g if t is not None and f in [norm(x) for x in got[i]["text"].split("\n")]]
-        assert len(keepers) == 1 and keepers[0][0] == min(homes[f] for f in g)
-        assert [norm(x) for x in got[keepers[0][0]]["text"].split("\n")].count(keepers[0][1]) == 1
-    assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).isEmpty()
-
-
-def test_line_dedup_finds_edited_lines(spark):
-    """Groups by edit similarity alone: lines of real words with words replaced, put in or taken out."""
-    r = random.Random(12)
-    vocab = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randrange(2, 10))) for _ in range(900)]
-    lines = []
-    for _ in range(60):
-        base = [r.choice(vocab) for _ in range(r.choice([7, 10, 20, 45]))]
-        lines.append(" ".join(base))
-        for _ in range(2):
-            w = list(base)
-            for _ in range(1 + len(w) // 15):
-                k = r.randrange(len(w))
-                w[k : k + r.randrange(2)] = [r.choice(vocab)]
-            lines.append(" ".join(w))
-    near = lambda a, b: distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
-    comp = {x: x for x in lines}
-    for a in lines:
-        for b in lines:
-            if a < b and comp[a] != comp[b] and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and len(set(a.split()) & set(b.split())) > 2 and near(a, b):
-                old, new = comp[b], comp[a]
-                comp = {k: new if v == old else v for k, v in comp.items()}
-    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()
-    left = [lines[x["doc_id"]] for x in out if not x["n_removed"]]
-    want = len(set(comp.values()))
-    assert want < 0.5 * len(lines) and {comp[x] for x in left} == set(comp.values())
-    assert len(lines) - len(left) >= 0.95 * (len(lines) - want)
-
-
 def test_chat(spark):
     t = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (2, 2, "user", "more"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, "user", "more"), (4, 0, "user", "hi\x1fbot"), (5, 0, None, None), (5, 0, None, None), (None, 0, "user", "lone"), (6, None, "user", "hi")]
     got = {r["conv_id"]: r for r in chat.maximal_conversations(spark.createDataFrame(t, "conv_id bigint, turn bigint, role string, text string").withColumn("h", F.lit(0))).collect()}
@@ -370,32 +248,6 @@ def test_neighbours_of_outliers(spark):
         assert len(best & {m[1] for m in got[q]}) >= 8
 
 
-PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><div class="nav-bar"><a href=x>Home %s</a></div>
-<div id="cookie">We use cookies</div><div class="wrap"><h1>Title %s</h1><p>First %s&amp;<b>bold</b> text<p>Second   &eacute; %s<br>line</p><!-- no <p>x</p> --><div class="share">Share</div></div>
-<aside><p>Other %s</p></aside><section class="comments"><p>Reader %s says a lot of things here and there and on</p></section><form><input><p>Mail</p></form><p>Same on all pages</p></body></html>"""
-
-
-def test_html(spark):
-    r = random.Random(3)
-    pages = [(i, f"http://h.example/{i}", PAGE % tuple(f"w{r.randrange(10**6)} q{i}" for _ in range(6))) for i in range(6)]
-    art = "<body><nav>menu</nav><article><h1>H</h1><p>one<p>two &lt;3</article><footer>f</footer>"
-    pages += [(20, "https://art.example/x", art), (21, "https://ART.example/y", art.replace("one", "uno")), (22, None, None), (23, "http://h.example/z", ""), (24, None, "<p>lone text</p>"), (20, "https://art.example/x", art), (25, "http://art.example/long", art.replace("two", "two " * 50000))]
-    got = [(x["page_id"], x["text"], x["n_chars"]) for x in html_extraction.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("rules", F.lit(1))).collect()]
-    text = {}
-    for i, t, n in got:
-        assert n == len(t) and text.setdefault(i, t) == t
-    assert len(got) == len(pages)
-    for i, _, h in pages[:6]:
-        import re
-
-        m = re.search(r"<h1>(.*?)</h1><p>(.*?)&amp;<b>bold</b> text<p>Second   &eacute; (.*?)<br>", h)
-        assert text[i] == f"{m[1]} {m[2]}&bold text Second é {m[3]} line"
-    assert text[20] == "H one two <3" and text[21] == "H uno two <3" and text[22] == "" and text[23] == "" and text[24] == "lone text" and text[25].count("two") == 50000
-    w = html_extraction._merge(*[html_extraction.page_tree(html_extraction.blocks(h)) for h in ("<ul><li>a</li></ul>x", "<ul><li>a</li><li>b</li></ul><p>y</p>")])
-    assert html_extraction.expression(w) == "<ul><li>(#PCDATA)+</></>('8cdc1683')?(<p>'fbdb2615'</>)?"
-    assert html_extraction.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).isEmpty()
-
-
 def accuracy(spark, run, truth, pick, right):
     rows = run.join(truth, "doc_id").collect()
     mine = [r for r in rows if pick(r)]
