@@ -35,9 +35,11 @@ def touches(keys: Column, attributes: list[str]) -> Column:
 
 
 def merged_view(log: DataFrame) -> Column:
-    """The record of an event: the new image over the old one."""
-    fields = log.schema["new"].dataType.names
-    return F.struct(*[F.coalesce(F.col(f"new.{f}"), F.col(f"old.{f}")).alias(f) for f in fields])
+    """The record of an event: what it wrote over the old image. A created record is all new, a deleted one all old; an update wrote
+    its `keys`, also where the new value is null (without a column `keys`: all of the new image)."""
+    fields, written = log.schema["new"].dataType.names, "keys" in log.columns
+    wrote = lambda f: F.col("old").isNull() | (F.col("new").isNotNull() & (F.coalesce(F.array_contains("keys", f), F.lit(True)) if written else F.lit(True)))
+    return F.struct(*[F.when(wrote(f), F.col(f"new.{f}")).otherwise(F.col(f"old.{f}")).alias(f) for f in fields])
 
 
 def pattern(p: dict, record: str = "record", old: str = "old", op: str = "op", keys: str = "keys") -> Column:
@@ -61,12 +63,16 @@ def pattern(p: dict, record: str = "record", old: str = "old", op: str = "op", k
 
 
 def apply_patch(current: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
-    """current after a patch with columns of current and `op` (insert, update, delete). Updates overwrite what isn't null."""
+    """current after a patch with columns of current and `op` (insert, update, delete). An update writes all the patch's columns, nulls
+    too, or, where the patch has an array `keys`, those named there."""
     cols = [c for c in current.columns if c != key]
-    p = patch.select(F.col(key), F.col("op").alias("_op"), *[F.col(c).alias(f"_p_{c}") for c in cols if c in patch.columns])
+    has_keys = "keys" in patch.columns and "keys" not in current.columns
+    p = patch.select(F.col(key), F.col("op").alias("_op"), *([F.col("keys").alias("_keys")] if has_keys else []), *[F.col(c).alias(f"_p_{c}") for c in cols if c in patch.columns])
     j = current.withColumn("_here", F.lit(True)).join(p, key, "full").filter(~F.coalesce(F.col("_op") == "delete", F.lit(False)))
     j = j.filter(F.col("_here") | (F.col("_op") == "insert"))
-    return j.select(key, *[F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if f"_p_{c}" in j.columns else F.col(c) for c in cols])
+    named = lambda c: F.coalesce(F.array_contains("_keys", c), F.lit(True)) if has_keys else F.lit(True)
+    wrote = lambda c: (F.col("_op") == "insert") | ((F.col("_op") == "update") & named(c))
+    return j.select(key, *[F.when(wrote(c), F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) if f"_p_{c}" in j.columns else F.col(c) for c in cols])
 
 
 def dirty_hosts(changed: DataFrame, reverse: DataFrame) -> DataFrame:

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import ModelError
+from .changes import apply_patch
+
 
 def transform(df: DataFrame, key: str, rows: Callable[[Callable[[str], Column]], Column | list[Column]]) -> DataFrame:
     """Each record to no, one or more rows: structs, null ones dropped. Rows are known by (source_id, transform_index)."""
@@ -45,18 +50,47 @@ def crossing(a: Column, b: Column, target: Column) -> Column:
     return F.when(b != 0, (target - a) / b)
 
 
-def custom(compute: Callable[..., DataFrame], incremental: Callable[..., DataFrame] | None = None, initial: Callable[[], DataFrame] | None = None) -> Callable[..., DataFrame]:
-    """A computation from functions of frames: run(deps, last=None, changes=None) takes the incremental way if there is one,
-    a last result and changes, else the full one."""
-
-    def run(deps: dict[str, DataFrame], last: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
-        if incremental is not None and last is not None and changes is not None:
-            return incremental(deps, last, changes)
-        if initial is not None and not deps:
-            return initial()
-        return compute(deps)
-
-    return run
+@dataclass(frozen=True)
+class Custom:
+    """A computation from functions of frames.
+
+    compute(deps, state) gives the value in full; incremental(deps, last, changes, state) from the last value and what changed;
+    incremental_patch(deps, last, changes, state) only what changes about it, as rows with op (insert, update, delete). A function may give
+    (value, state): what it wants to have next time. initial() is the value while nothing is there to compute from, create_state() the first
+    state. kind: global, entity or property; a property's value has a row for each host."""
+
+    compute: Callable[..., Any]
+    incremental: Callable[..., Any] | None = None
+    incremental_patch: Callable[..., Any] | None = None
+    initial: Callable[[], DataFrame] | None = None
+    create_state: Callable[[], DataFrame] | None = None
+    kind: str = "global"
+    reads: tuple[str, ...] = ()
+    key: str = "id"
+
+    def __post_init__(self):
+        if self.kind not in ("global", "entity", "property"):
+            raise ModelError(f"{self.kind} is not a kind of computation")
+        if self.kind == "property" and any(r != "host" for r in self.reads):
+            raise ModelError("a property is computed from its host; a set of records calls for a global or an entity")
+
+    def run(self, deps: dict[str, DataFrame], last: DataFrame | None = None, changes: dict[str, DataFrame] | None = None, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """(value, state) by the cheapest way that there is: patch, incremental, full."""
+        if state is None and self.create_state is not None:
+            state = self.create_state()
+        if not deps and self.initial is not None:
+            return self.initial(), state
+        again = last is not None and changes is not None
+        if again and self.incremental_patch is not None:
+            patch, state = self._both(self.incremental_patch(deps, last, changes, state), state)
+            return apply_patch(last, patch, self.key), state
+        if again and self.incremental is not None:
+            return self._both(self.incremental(deps, last, changes, state), state)
+        return self._both(self.compute(deps, state), state)
+
+    @staticmethod
+    def _both(got: Any, state: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        return got if isinstance(got, tuple) else (got, state)
 
 
 def settle_tasks(tasks: DataFrame, fresh: list[str], key: str = "id") -> DataFrame:

@@ -37,21 +37,49 @@ def allocate_ids(current: DataFrame, new: DataFrame, order: list[str], key: str
     return parts.join(F.broadcast(base), "_p").crossJoin(F.broadcast(top)).withColumn(key, n).drop("_p", "_m", "_base", "_top")
 
 
-def with_defaults(e: Entity, df: DataFrame) -> DataFrame:
-    """Missing columns and nulls filled from defaults, then computed properties from their own row."""
+def with_defaults(e: Entity, df: DataFrame, written: Column | None = None) -> DataFrame:
+    """Defaults where a payload lacks a property, then computed properties from their own row.
+
+    A column that is not there is missing in every row; `written`, an array of names, tells which ones a row has. An explicit
+    null is a value: it stays."""
+    names = None if written is None else "_written"
+    if names:
+        df = df.withColumn(names, written)
     for p in e.properties:
         d = p.default() if callable(p.default) else p.default
         value = F.lit(d).cast(spark_type(p)) if not isinstance(d, (list, dict)) else F.lit(d)
         if p.name not in df.columns:
             df = df.withColumn(p.name, value)
-        elif d is not None:
-            df = df.withColumn(p.name, F.coalesce(F.col(p.name), value))
+        elif names and d is not None:
+            df = df.withColumn(p.name, F.when(F.coalesce(F.array_contains(names, p.name), F.lit(False)), F.col(p.name)).otherwise(value))
     for p in e.properties:
         if p.computed is not None:
             df = df.withColumn(p.name, p.computed(_Own(df)))
+    return df.drop(names) if names else df
+
+
+def with_input_defaults(inputs: dict[str, Entity], df: DataFrame, created_as: str = "__type") -> DataFrame:
+    """Rows of a union created under the names of its inputs: each gets the defaults of its own input for properties that are missing."""
+    for name in dict.fromkeys(p.name for e in inputs.values() for p in e.properties):
+        if name in df.columns:
+            continue
+        value = None
+        for k, e in inputs.items():
+            if (p := e.property(name)) is not None:
+                d = p.default() if callable(p.default) else p.default
+                one = F.lit(d).cast(spark_type(p)) if not isinstance(d, (list, dict)) else F.lit(d)
+                value = F.when(F.col(created_as) == k, one) if value is None else value.when(F.col(created_as) == k, one)
+        df = df.withColumn(name, value)
     return df
 
 
+def backfill(df: DataFrame, p: Property) -> DataFrame:
+    """A new property on rows that were created before it: its default (there is no row that wrote it)."""
+    if p.name in df.columns:
+        raise ModelError(f"{p.name} is there already")
+    return with_defaults(Entity("backfill", (p,)), df)
+
+
 class _Own:
     """What a computed property may read: the columns of its own row."""
 
@@ -125,6 +153,32 @@ def cascade_delete(cat: Catalog, entity: str, match: Any, max_depth: int = 16) -
     return gone
 
 
+def deletion_events(gone: dict[str, DataFrame], relations: set[str]) -> DataFrame:
+    """(step, record, id) of a cascade in the order of its events: the links of a record, then what relies on it (each with its own
+    links first), then the record."""
+    deep = 1 + max((int(r[0]) for df in gone.values() for r in df.agg(F.coalesce(F.max("depth"), F.lit(0))).collect()), default=0)  # a row for each type
+    out = None
+    for name, df in sorted(gone.items()):
+        step = F.col("depth") if name in relations else F.lit(2 * deep) - F.col("depth")
+        part = df.select(step.cast("int").alias("step"), F.lit(name).alias("record"), F.col("id").cast("string").alias("id"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def null_out(cat: Catalog, entity: str, match: Any, columns: list[str]) -> DataFrame:
+    """A snapshot in which some columns of the matching records are null."""
+    kinds = dict(cat.scan(entity).dtypes)
+    return update_by_match(cat, entity, match, {c: F.lit(None).cast(kinds[c]) for c in columns})
+
+
+def guard_scope(old: DataFrame, new: DataFrame, scope: list[str], number: str, key: str = "id") -> DataFrame:
+    """new, unless a record that has a number in a sequence would move to another scope."""
+    j = old.filter(F.col(number).isNotNull()).select(key, F.struct(*scope).alias("_a")).join(new.select(key, F.struct(*scope).alias("_b")), key)
+    if not j.filter(~F.col("_a").eqNullSafe(F.col("_b"))).isEmpty():
+        raise ConstraintError("scope", f"{scope} can't change once {number} is given")
+    return new
+
+
 def delete(df: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     return df.join(gone.select(key), key, "left_anti")
 
@@ -221,12 +275,55 @@ def guard(events: DataFrame, condition: Any, tests: dict[str, Callable[[], Colum
     return events.filter(ok), events.filter(~ok)
 
 
-def dispatch(events: DataFrame, log: DataFrame, key: list[str], order: list[str], admit: Column | None = None, map_data: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
-    """A batch through the dispatch steps: repeats of keys already logged or within the batch are replayed, the rest admitted or
-    refused, mapped and appended to the log."""
+def dispatch(
+    events: DataFrame,
+    log: DataFrame,
+    key: list[str],
+    order: list[str],
+    admit: Column | None = None,
+    map_data: Callable[[DataFrame], DataFrame] | None = None,
+    *,
+    open_: Callable[[DataFrame], DataFrame] | None = None,
+    resolve: Callable[[DataFrame], DataFrame] | None = None,
+    after: Callable[[dict[str, DataFrame]], DataFrame] | None = None,
+    post_commit: list[Callable[[dict[str, DataFrame]], None]] = (),
+    commit: Callable[[dict[str, DataFrame]], None] | None = None,
+) -> dict[str, DataFrame]:
+    """A batch through the dispatch steps: repeats of keys already logged or within the batch are replayed, the rest admitted or refused,
+    opened (which may add what later steps need), resolved, mapped and appended to the log.
+
+    after: from created, refused, replayed and log, what the dispatch answers ("answer"). commit writes the result; post_commit effects run once
+    it has, each by itself: those that fail are named in the error that follows, as the data are committed, and may be run again (`rerun`)."""
     first = idempotent(events, key, order).join(log.select(*key), key, "left_anti").select(*events.columns)
     ok = F.lit(True) if admit is None else F.coalesce(admit, F.lit(False))
     new = first.filter(ok)
-    new = map_data(new) if map_data else new
+    for step in (open_, resolve, map_data):
+        new = step(new) if step else new
     replay = events.join(log.select(*key).distinct(), key, "left_semi")
-    return {"created": new, "refused": first.filter(~ok), "replayed": replay, "log": insert(log, new)}
+    out = {"created": new, "refused": first.filter(~ok), "replayed": replay, "log": insert(log, new)}
+    if after:
+        out["answer"] = after(out)
+    if commit:
+        commit(out)
+    rerun(out, post_commit)
+    return out
+
+
+class EffectError(ModelError):
+    """Effects that failed after a commit; `failed` are those to run again."""
+
+    def __init__(self, failed: list[tuple[Callable, Exception]]):
+        super().__init__("; ".join(f"{getattr(f, '__name__', f)}: {e}" for f, e in failed))
+        self.failed = [f for f, _ in failed]
+
+
+def rerun(result: dict[str, DataFrame], effects: list[Callable[[dict[str, DataFrame]], None]]) -> None:
+    """Run effects; one that fails doesn't keep the others from running."""
+    failed = []
+    for f in effects:
+        try:
+            f(result)
+        except Exception as e:  # reported below
+            failed.append((f, e))
+    if failed:
+        raise EffectError(failed)

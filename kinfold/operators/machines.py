@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +41,17 @@ class StateMachine:
         return list(dict.fromkeys([self.initial, *self.states, *[s for t in self.transfers for s in (t.current, t.next)]]))
 
     def next_of(self, state: Column, e: Callable[[str], Column], event: str) -> Column:
+        """The state after an event. Where triggers are functions, two that hold at once and lead to different states are an error."""
         out = state
         for t in reversed(self.transfers):
             out = F.when((state == t.current) & t.holds(e, event), F.lit(t.next)).otherwise(out)
+        clash = F.lit(False)
+        for i, t in enumerate(self.transfers):
+            for u in self.transfers[:i]:
+                if t.current == u.current and t.next != u.next and (callable(t.trigger) or callable(u.trigger)):
+                    clash = clash | ((state == t.current) & t.holds(e, event) & u.holds(e, event))
+        if any(callable(t.trigger) for t in self.transfers):
+            out = F.when(clash, F.raise_error(F.lit("an event leads to two states")).cast("string")).otherwise(out)
         return out
 
 
@@ -69,13 +76,18 @@ def final_states(events: DataFrame, machine: StateMachine, key: list[str], order
     return whole.select(*key, F.aggregate("cs", F.lit(machine.initial), lambda s, c: F.get(c["to"], at(s))).alias("state"))
 
 
+def with_initial(new: DataFrame, machine: StateMachine, name: str = "state", value: Column | None = None) -> DataFrame:
+    """Records as they are created: in the machine's first state, or with the value that goes with it."""
+    return new.withColumn(name, F.lit(machine.initial) if value is None else value)
+
+
 def _fields(events: DataFrame) -> list[str]:
     return [c for c, t in events.dtypes if not t.startswith(("map", "variant"))]
 
 
 def fold_values(events: DataFrame, machine: StateMachine, key: list[str], order: list[str], event: str, start: Column, value: Callable[[Column, Column, Callable], Column]) -> DataFrame:
     """(key, state, value): the value is recomputed from (last value, next state, event) whenever a transfer happens, and else kept.
-    Values don't compose, so the events of one key fold in one task."""
+    Any function may be given, so values don't compose and the events of one key fold in one task; see sum_values for those that do."""
     ev = F.struct(*order, *[c for c in _fields(events) if c not in order])
     init = F.struct(F.lit(machine.initial).alias("state"), start.alias("value"), F.lit(0).alias("moves"))
 
@@ -91,6 +103,36 @@ def fold_values(events: DataFrame, machine: StateMachine, key: list[str], order:
     return g.select(*key, F.aggregate("es", init, step).alias("x")).select(*key, "x.state", "x.value", "x.moves")
 
 
+def sum_values(events: DataFrame, machine: StateMachine, key: list[str], order: list[str], event: str, start: Column, add: Callable[[Column, Callable], Column], chunk: Column) -> DataFrame:
+    """(key, state, value, moves): a value to which each transfer adds something that depends on the next state and the event alone. Such sums
+    compose, so the events of a key fold by chunks (see final_states)."""
+    states = machine.all_states()
+    ev = F.struct(*order, *[c for c in _fields(events) if c not in order])
+    names = F.array(*[F.lit(s) for s in states])
+    begin = F.transform(names, lambda s: F.struct(s.alias("state"), F.lit(0.0).alias("value"), F.lit(0).cast("bigint").alias("moves")))
+
+    def step(acc: Column, e: Column) -> Column:
+        def one(s: Column) -> Column:
+            get = lambda c: e[c]
+            nxt, moved = machine.next_of(s["state"], get, event), F.lit(False)
+            for t in machine.transfers:
+                moved = moved | ((s["state"] == t.current) & t.holds(get, event))
+            return F.struct(nxt.alias("state"), (s["value"] + F.when(moved, add(nxt, get).cast("double")).otherwise(0.0)).alias("value"), (s["moves"] + F.when(moved, 1).otherwise(0)).alias("moves"))
+
+        return F.transform(acc, one)
+
+    part = events.withColumn("_chunk", chunk).groupBy(*key, "_chunk").agg(F.array_sort(F.collect_list(ev)).alias("es"))
+    part = part.select(*key, "_chunk", F.aggregate("es", begin, step).alias("to"))
+    whole = part.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_chunk", "to"))).alias("cs"))
+
+    def after(s: Column, c: Column) -> Column:
+        t = F.get(c["to"], F.array_position(names, s["state"]).cast("int") - 1)
+        return F.struct(t["state"].alias("state"), (s["value"] + t["value"]).alias("value"), (s["moves"] + t["moves"]).alias("moves"))
+
+    first = F.struct(F.lit(machine.initial).alias("state"), start.cast("double").alias("value"), F.lit(0).cast("bigint").alias("moves"))
+    return whole.select(*key, F.aggregate("cs", first, after).alias("x")).select(*key, "x.state", "x.value", "x.moves")
+
+
 def targets(events: DataFrame, ids: Column, name: str = "target") -> DataFrame:
     """One row for each record that an event concerns: an id, an array of ids, or pairs of arrays (source and target, crossed)."""
     kind = events.select(ids.alias("x")).schema["x"].dataType.typeName()
@@ -158,13 +200,78 @@ class Activity:
         return "none" if at < 0 else "done" if at == len(self.chain) else str(at), accepted, refused
 
 
-def run_activities(events: DataFrame, activity: Activity, key: str, order: list[str], event: str) -> DataFrame:
-    """(key, step, accepted, refused): a fold over the events of each activity instance, which are few."""
-    kind = events.schema[key].dataType.simpleString()
-    names = {*(n for c in activity.chain for n in ([c] if isinstance(c, str) else [x for b in c.branches for x in b]))}
+    def table(self) -> tuple[list[str], list[dict[str, int]], list[str]]:
+        """The activity as an automaton: (names, for each state where each accepted name leads, for each state where it stands).
+        State 0 is the first; a name that isn't in a state's mapping is refused there."""
+        names = list(dict.fromkeys(n for c in self.chain for n in ([c] if isinstance(c, str) else [x for b in c.branches for x in b])))
+        # a state is the accepted names that lead to it, in one of the ways; equal futures are told apart by place, positions and branch
+        found: dict[tuple, int] = {}
+        paths: list[tuple[str, ...]] = []
+        moves: list[dict[str, int]] = []
+
+        def state(path: tuple[str, ...]) -> int:
+            k = self._mark(path)
+            if k not in found:
+                found[k] = len(paths)
+                paths.append(path)
+                moves.append({})
+            return found[k]
+
+        state(())
+        at = 0
+        while at < len(paths):
+            for n in names:
+                if self.run([*paths[at], n])[1] > len(paths[at]):
+                    moves[at][n] = state((*paths[at], n))
+            at += 1
+        return names, moves, [self.run(list(p))[0] for p in paths]
+
+    def _mark(self, accepted: tuple[str, ...]) -> tuple:
+        """Where accepted names lead: the step, and what is left of it."""
+        at, inside = -1, 0
+        for k in range(len(accepted) + 1):  # the names since the step began
+            step = self.run(list(accepted[:k]))[0]
+            if step != at:
+                at, inside = step, k
+        node = self.chain[int(at)] if at not in ("none", "done") else None
+        if not isinstance(node, Group):
+            return (at,)
+        pos, chosen = [0] * len(node.branches), None
+        for n in accepted[inside:]:
+            i = next(i for i, b in enumerate(node.branches) if pos[i] < len(b) and b[pos[i]] == n and (chosen is None or chosen == i))
+            pos[i] += 1
+            chosen = i if node.kind == "any" else None
+        return (at, tuple(pos), chosen)
+
+
+def run_activities(events: DataFrame, activity: Activity, key: str, order: list[str], event: str, chunk: Column | None = None) -> DataFrame:
+    """(key, step, accepted, refused) of each activity instance.
+
+    The activity is an automaton. The events of an instance fold within chunks (see final_states; without one, all of an instance are one chunk)
+    for every state they may start in, and chunks compose, so an instance with very many events is spread out."""
+    names, moves, stands = activity.table()
+    size, refused = len(names), -1
+    # state * size + name to the next state, as one array
+    leads = F.array(*[F.lit(m.get(n, refused)) for m in moves for n in names])
+    code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(event)).cast("int") - 1
+    ev = F.struct(*order, code.alias("_code"))
+    begin = F.array(*[F.struct(F.lit(s).alias("to"), F.lit(0).cast("bigint").alias("ok"), F.lit(0).cast("bigint").alias("no")) for s in range(len(moves))])
+
+    def step(acc: Column, e: Column) -> Column:
+        def one(s: Column) -> Column:
+            to = F.get(leads, s["to"] * size + e["_code"])
+            return F.struct(F.when(to < 0, s["to"]).otherwise(to).alias("to"), (s["ok"] + F.when(to < 0, 0).otherwise(1)).alias("ok"), (s["no"] + F.when(to < 0, 1).otherwise(0)).alias("no"))
+
+        return F.transform(acc, one)
+
+    part = events.filter(F.col(event).isin(*names)).withColumn("_chunk", F.lit(0) if chunk is None else chunk)
+    part = part.groupBy(key, "_chunk").agg(F.array_sort(F.collect_list(ev)).alias("es")).select(key, "_chunk", F.aggregate("es", begin, step).alias("to"))
+    whole = part.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_chunk", "to"))).alias("cs"))
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        step, ok, no = activity.run(list(p.sort_values(order)[event]))
-        return pd.DataFrame({key: p[key][:1], "step": [step], "accepted": [ok], "refused": [no]})
+    def after(s: Column, c: Column) -> Column:
+        t = F.get(c["to"], s["to"])
+        return F.struct(t["to"].alias("to"), (s["ok"] + t["ok"]).alias("ok"), (s["no"] + t["no"]).alias("no"))
 
-    return events.filter(F.col(event).isin(*names)).select(key, *order, event).groupBy(key).applyInPandas(one, f"{key} {kind}, step string, accepted bigint, refused bigint")
+    first = F.struct(F.lit(0).alias("to"), F.lit(0).cast("bigint").alias("ok"), F.lit(0).cast("bigint").alias("no"))
+    out = whole.select(key, F.aggregate("cs", first, after).alias("x"))
+    return out.select(key, F.get(F.array(*[F.lit(s) for s in stands]), F.col("x.to")).alias("step"), F.col("x.ok").alias("accepted"), F.col("x.no").alias("refused"))

@@ -5,16 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def scoped_sequence(df: DataFrame, scope: list[str], order: list[str], name: str = "number", initial: int = 0, step: int = 1, where: Column | None = None, manual: str | None = None) -> DataFrame:
     """Dense numbers within a scope in order of creation: initial + step, initial + 2 * step, ... Rows that don't match get none.
-    A value given in `manual` is kept and takes no number. The match has two truth values: a null comparison is false."""
+    A value given in `manual` is kept and takes no number. The match has two truth values: a null comparison is false.
+
+    Rows lie in ranges of (scope, order); a row's number is its place in its range and the count of its scope in the ranges before, so
+    a scope with most of the rows, or an empty one, is no one task's work. The ranges are a table, as another run may cut them elsewhere."""
     ok = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     if manual:
         ok = ok & F.col(manual).isNull()
-    n = F.row_number().over(Window.partitionBy(*scope, ok).orderBy(*order))
-    value = F.when(ok, F.lit(initial) + F.lit(step) * n).cast("bigint")
-    return df.withColumn(name, F.coalesce(F.col(manual), value) if manual else value)
+    cols = df.columns
+    parts = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.struct(*scope).alias("_scope") if scope else F.lit(0).alias("_scope"), F.struct(*order).alias("_order"), ok.alias("_ok"))
+    parts = parts.repartitionByRange("_scope", "_ok", "_order").withColumn("_p", F.spark_partition_id())
+    path, kind = shared_folder(df.sparkSession, "sequence"), parts.schema
+    parts.write.parquet(path)
+    parts = df.sparkSession.read.schema(kind).parquet(path)
+    sizes = parts.filter("_ok").groupBy("_scope", "_p").agg(F.count("*").alias("_size"))
+    base = sizes.select("_scope", "_p", F.coalesce(F.sum("_size").over(Window.partitionBy("_scope").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each scope in a range
+    base = base.select(F.col("_scope").alias("_s"), F.col("_p").alias("_q"), "_base")
+    placed = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_scope", "_p", "_ok").orderBy("_order")))
+    placed = placed.join(base, F.col("_scope").eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q")), "left")
+    value = F.when(F.col("_ok"), F.lit(initial) + F.lit(step) * (F.col("_base") + F.col("_n"))).cast("bigint")
+    if manual:
+        value = F.coalesce(F.col("_row").getField(manual), value)
+    return placed.select(*[F.col("_row").getField(c).alias(c) for c in cols if c != name], value.alias(name))
 
 
 def reserve(current: int, count: int, step: int = 1) -> dict[str, int]:

@@ -223,35 +223,61 @@ def policy_view(cat: Catalog, entity: str, policy: dict, match: Any = None, modi
     return find(cat, entity, cond, {**theirs, **mine}, policy.get("attrs") or attrs)
 
 
-def traverse(cat: Catalog, entity: str, prop: str, start: Any = None, max_depth: int = 32, stop: Callable[[dict[str, Column]], Column] | None = None) -> DataFrame:
-    """(root, depth, id, path): records reached from each root by repeating one relation; a record already on the path is not
-    entered again, and what `stop` holds for (given path, depth and id columns) is not gone beyond. Depth 0 is the root itself."""
+def _steps(cat: Catalog, entity: str, prop: str) -> DataFrame:
+    """(_from, _to): the links of a relation that leads from an entity to itself."""
     end = cat.end(entity, prop)
     if end is None:
         raise ModelError(f"{prop} is not a relation of {entity}")
     fk = fk_of(cat, end)
-    step = cat.scan(entity).filter(F.col(fk[1]).isNotNull()).select(F.col("id").alias("_from"), F.col(fk[1]).alias("_to")) if fk and fk[0] == "here" else hop_rows(cat, end, False).select(F.col("_src").alias("_from"), F.col("id").alias("_to"))
+    return cat.scan(entity).filter(F.col(fk[1]).isNotNull()).select(F.col("id").alias("_from"), F.col(fk[1]).alias("_to")) if fk and fk[0] == "here" else hop_rows(cat, end, False).select(F.col("_src").alias("_from"), F.col("id").alias("_to"))
+
+
+def traverse(cat: Catalog, entity: str, prop: str, start: Any = None, max_depth: int = 32, stop: Callable[[dict[str, Column]], Column] | None = None) -> DataFrame:
+    """(root, depth, id, path): records reached from each root by repeating one relation; a record already on the path is not
+    entered again, and what `stop` holds for (given path, depth and id columns) is not gone beyond. Depth 0 is the root itself.
+    Paths that go on beyond max_depth are an error."""
+    step = _steps(cat, entity, prop)
     roots = cat.scan(entity) if start is None else restrict(cat, entity, cat.scan(entity), Match.of(start))
     level = roots.select(F.col("id").alias("root"), F.lit(0).alias("depth"), "id", F.array("id").alias("path"))
     # each level is a table, so that neither the plan nor the work grows with the depth
     spark, folder, kind, parts = cat.spark, shared_folder(cat.spark, "traverse"), level.schema, []
-    for d in range(max_depth + 1):
+    for d in range(max_depth + 2):
         parts.append(f"{folder}/level-{d:03d}")
         level.write.parquet(parts[-1])
         level = spark.read.schema(kind).parquet(parts[-1])
-        if d == max_depth or level.isEmpty():
+        if level.isEmpty():
             break
+        if d > max_depth:
+            raise ModelError(f"{entity}.{prop} goes deeper than {max_depth}")
         go = level if stop is None else level.filter(~F.coalesce(stop({"path": F.col("path"), "depth": F.col("depth"), "id": F.col("id")}), F.lit(False)))
         level = go.join(step, F.col("id") == F.col("_from")).filter(~F.array_contains("path", F.col("_to")))
         level = level.select("root", (F.col("depth") + 1).alias("depth"), F.col("_to").alias("id"), F.concat("path", F.array("_to")).alias("path"))
     return spark.read.schema(kind).parquet(*parts)
 
 
-def find_path(cat: Catalog, entity: str, prop: str, start: Any, goal: Any, max_depth: int = 32) -> DataFrame:
-    """(path, length): the shortest path from one id to another by repeating a relation; no row if there is none."""
-    seen = traverse(cat, entity, prop, Match.atom("id", "=", start), max_depth, lambda c: c["id"] == F.lit(goal))
-    hit = seen.filter(F.col("id") == F.lit(goal))
-    return hit.orderBy("depth", "path").limit(1).select("path", F.col("depth").alias("length"))
+def find_path(cat: Catalog, entity: str, prop: str, start: Any, goal: Any, max_depth: int = 1000) -> DataFrame:
+    """(path, length): the shortest path from one id to another by repeating a relation, of several the first in order of ids; no row
+    if there is none; an error if it would be longer than max_depth.
+
+    Breadth first: a record is entered once, from the least of the records before it on a least path, so the work is that of the links met, however
+    many paths there are. Each level is a table."""
+    spark, step, folder = cat.spark, _steps(cat, entity, prop), shared_folder(cat.spark, "path")
+    known = restrict(cat, entity, cat.scan(entity), Match.atom("id", "=", start)).select("id", F.array("id").alias("path"))
+    kind, parts = known.schema, []
+    found = lambda df: df.filter(F.col("id") == F.lit(goal)).select("path", (F.size("path") - 1).alias("length")).limit(1)
+    for d in range(max_depth + 2):
+        parts.append(f"{folder}/level-{d:05d}")
+        known.write.parquet(parts[-1])
+        level = spark.read.schema(kind).parquet(parts[-1])
+        hit = found(level)
+        if level.isEmpty() or not hit.isEmpty():
+            return hit
+        if d > max_depth:
+            raise ModelError(f"no path of up to {max_depth} steps, and more records ahead")
+        seen = spark.read.schema(kind).parquet(*parts).select(F.col("id").alias("_to"))
+        ahead = level.join(step, F.col("id") == F.col("_from")).join(seen, "_to", "left_anti")
+        known = ahead.groupBy(F.col("_to").alias("id")).agg(F.min("path").alias("path")).select("id", F.concat("path", F.array("id")).alias("path"))
+    return hit
 
 
 def recursive(cat: Catalog, entity: str, prop: str, attrs: Any = (ALL,), depth: int = 3) -> Nested:

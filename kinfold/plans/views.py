@@ -137,3 +137,28 @@ def manifest_diff(old: dict[str, dict], new: dict[str, dict]) -> list[tuple[str,
 def rebuild_plan(old: dict[str, dict], new: dict[str, dict], graph: Graph) -> list[str]:
     """Views to rebuild after declarations changed, inputs first."""
     return graph.affected({n: set() for _, n in manifest_diff(old, new)}) if old != new else []
+
+
+def destructive(old: dict[str, dict], new: dict[str, dict]) -> list[str]:
+    """What of stored data a change of declarations would lose, as "name" or "name.property": removed declarations, removed properties
+    and properties whose type or collection changed. Views hold nothing of their own."""
+    out = []
+    for n, d in old.items():
+        if d["kind"] == "view":
+            continue
+        if n not in new:
+            out.append(n)
+            continue
+        props = lambda x: {p["name"]: (p.get("type"), p.get("collection")) for p in x["declaration"].get("properties") or ()}
+        now = props(new[n])
+        out += [f"{n}.{p}" for p, kind in props(d).items() if now.get(p) != kind]
+    return sorted(out)
+
+
+def approve(old: dict[str, dict], new: dict[str, dict], approved: set[str]) -> None:
+    """Refuse a change that loses data unless just that loss is approved; approvals of anything else are refused too."""
+    lost = set(destructive(old, new))
+    if missing := sorted(lost - approved):
+        raise ModelError(f"not approved: {missing}")
+    if extra := sorted(approved - lost):
+        raise ModelError(f"approved, but nothing of it is lost: {extra}")

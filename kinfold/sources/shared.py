@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or under a local one where that is unset (tests, one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder under spark.checkpoint.dir. Unset, it is an error on a cluster; one machine that does all uses a local folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or "/tmp/checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Dictionary, ModelError
+from ..model import Dictionary, Entity, ModelError
 from ..functions.values import canonical_json
 
 
@@ -25,6 +25,24 @@ def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None,
     return r.load()
 
 
+def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **options: str) -> None:
+    """Rows into a table of a relational database, from all partitions at once."""
+    df.write.format("jdbc").option("url", url).option("dbtable", name).options(**options).mode(mode).save()
+
+
+def ddl(cat: Any, using: str = "parquet") -> dict[str, str]:
+    """CREATE TABLE statements for the stored entities and link tables of a catalog, by name."""
+    out = {}
+    for n, e in cat.entities.items():
+        if isinstance(e, Entity):
+            fields = [("id", dict(cat.scan(n).dtypes)["id"]), *[(c, t) for c, t in cat.scan(n).dtypes if c != "id"]]
+            out[n] = f"CREATE TABLE `{n}` (" + ", ".join(f"`{c}` {t}{' NOT NULL' if c == 'id' else ''}" for c, t in fields) + f") USING {using}"
+    for n, r in cat.relations.items():
+        if not r.base:
+            out[n] = f"CREATE TABLE `{n}` (" + ", ".join(f"`{c}` {t}{' NOT NULL' if c in ('source', 'target') else ''}" for c, t in cat.links(r).dtypes) + f") USING {using}"
+    return out
+
+
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
@@ -43,12 +61,25 @@ class EventSource:
     admit: Callable[[DataFrame], Column] | None = None
     map_data: Callable[[DataFrame], DataFrame] | None = None
     key: tuple[str, ...] = ()
+    open_: Callable[[DataFrame], DataFrame] | None = None
+    resolve: Callable[[DataFrame], DataFrame] | None = None
+    after: Callable[[dict[str, DataFrame]], DataFrame] | None = None
+    post_commit: tuple[Callable[[dict[str, DataFrame]], None], ...] = ()
 
     def take(self, events: DataFrame) -> DataFrame:
         """The rows to log; works on batches and streams."""
         if self.admit is not None:
             events = events.filter(F.coalesce(self.admit(events), F.lit(False)))
-        return self.map_data(events) if self.map_data else events
+        for step in (self.open_, self.resolve, self.map_data):
+            events = step(events) if step else events
+        return events
+
+    def dispatch(self, events: DataFrame, log: DataFrame, order: list[str], commit: Callable[[dict[str, DataFrame]], None] | None = None) -> dict[str, DataFrame]:
+        """A batch through all steps of this source (see governance.dispatch)."""
+        from ..operators.governance import dispatch
+
+        admit = self.admit(events) if self.admit else None
+        return dispatch(events, log, list(self.key), order, admit, self.map_data, open_=self.open_, resolve=self.resolve, after=self.after, post_commit=list(self.post_commit), commit=commit)
 
 
 class KeyValues:

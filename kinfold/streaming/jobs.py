@@ -36,7 +36,8 @@ def windowed(events: DataFrame, ts: str, delay: str, width: str, by: list[str],
 
 
 def run_machine(events: DataFrame, machine: StateMachine, key: str, order: str, event: str) -> DataFrame:
-    """(key, state, moves) after each batch of events of a key. Triggers are event names; the state is kept per key."""
+    """(key, state, moves) after each batch of events of a key. Triggers are event names; the state is kept per key, for good. Events
+    are put in order within a micro-batch: a source has to deliver batches in order, and late events act when they come."""
     table = {(t.current, t.trigger): t.next for t in machine.transfers}
     if any(callable(t.trigger) for t in machine.transfers):
         raise ValueError("on streams a trigger is an event name")

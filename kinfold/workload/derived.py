@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expression import Expression
@@ -90,12 +90,14 @@ _MACHINE_SQL = """WITH RECURSIVE e AS (SELECT {key} AS k, event_type, value, row
 Q["state_machine_property"] = (lambda c: machines.final_states(c.scan("Event").select("user_id", "ts", "event_id", "event_type"), MACHINE, ["user_id"], ["ts", "event_id"], "event_type", F.to_date("ts")), _MACHINE_SQL.format(key="user_id", where="true") + "SELECT k AS user_id, s AS state FROM z WHERE r = 1")
 Q["state_machine_global"] = (lambda c: machines.final_states(c.scan("Event").filter("value > 95").select(F.lit("all").alias("scope"), "ts", "event_id", "event_type"), MACHINE, ["scope"], ["ts", "event_id"], "event_type", F.to_date("ts")), _MACHINE_SQL.format(key="'all'", where="value > 95") + "SELECT k AS scope, s AS state FROM z WHERE r = 1")
 Q["state_machine_value"] = (lambda c: rounded(machines.fold_values(c.scan("Event").select("user_id", "ts", "event_id", "event_type", "value"), MACHINE, ["user_id"], ["ts", "event_id"], "event_type", F.lit(0.0), lambda v, s, e: v + e("value")).select("user_id", "state", "value", "moves"), "value"), _MACHINE_SQL.format(key="user_id", where="true") + "SELECT k AS user_id, s AS state, m AS moves, round(v, 2) AS value FROM z WHERE r = 1")
+Q["state_machine_sum"] = (lambda c: rounded(machines.sum_values(c.scan("Event").select("user_id", "ts", "event_id", "event_type", "value"), MACHINE, ["user_id"], ["ts", "event_id"], "event_type", F.lit(0.0), lambda s, e: e("value"), F.to_date("ts")), "value"), _MACHINE_SQL.format(key="user_id", where="true") + "SELECT k AS user_id, s AS state, m AS moves, round(v, 2) AS value FROM z WHERE r = 1")
+Q["scoped_sequence_global"] = (lambda c: sequences.scoped_sequence(c.scan("Event"), [], ["ts", "event_id"]).select("event_id", "number"), "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS number FROM events")
 Q["state_machine_targets"] = (lambda c: machines.targets(c.scan("Event").filter("event_type = 'click'"), F.array("user_id", F.col("user_id") + 1)).groupBy("target").agg(F.count("*").alias("n")), "SELECT target, count(*) AS n FROM (SELECT user_id AS target FROM events WHERE event_type = 'click' UNION ALL SELECT user_id + 1 FROM events WHERE event_type = 'click') GROUP BY target")
 
 
 def _activity(kind: str) -> Query:
     a = machines.Activity(["signup", machines.Group(kind, [["purchase"], ["error"]])])
-    return lambda c: machines.run_activities(c.scan("Event"), a, "user_id", ["ts", "event_id"], "event_type")
+    return lambda c: machines.run_activities(c.scan("Event"), a, "user_id", ["ts", "event_id"], "event_type", F.to_date("ts"))
 
 
 _ACT = """WITH s AS (SELECT user_id, ts, event_id, event_type FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
@@ -111,23 +113,44 @@ Q["realtime_expression"] = (lambda c: rounded(derive.real_time(c.scan("Event"),
 Q["realtime_inequality"] = (lambda c: derive.real_time(c.scan("Event"), _now(), lambda now: E_("age").gt(86400).column({"age": F.unix_timestamp(now) - F.unix_timestamp("ts")}), name="old").select("id", "old"), "SELECT event_id AS id, epoch(TIMESTAMP '2024-01-30') - floor(epoch(ts)) > 86400 AS old FROM events")
 Q["realtime_equation"] = (lambda c: derive.real_time(c.scan("Order"), _now(), lambda now: E_("a").eq(E_("b")).column({"a": F.col("o_totalprice") % 2, "b": F.lit(0.0)}), name="even").select("id", "even"), "SELECT o_orderkey AS id, abs(o_totalprice % 2) < 1e-10 AS even FROM orders")
 Q["realtime_next"] = (lambda c: derive.real_time(c.scan("Event"), _now(), lambda now: F.unix_timestamp(now) - F.unix_timestamp("ts") > 86400, lambda now: derive.crossing(-F.unix_timestamp("ts").cast("double"), F.lit(1.0), F.lit(86400.0)), "old").select("id", "old", F.col("old_next").cast("bigint").alias("next")), "SELECT event_id AS id, epoch(TIMESTAMP '2024-01-30') - floor(epoch(ts)) > 86400 AS old, (floor(epoch(ts)) + 86400)::BIGINT AS next FROM events")
-Q["custom_computation"] = (lambda c: derive.custom(lambda d: d["orders"].groupBy("o_orderstatus").agg(F.count("*").alias("n")))({"orders": c.scan("Order")}), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+
+
+def _custom(c: Catalog) -> DataFrame:
+    """Orders by status, kept from a change log: a patch of the statuses that changed, with the number of batches as state."""
+    old, new = _snapshots(c)
+    count = lambda df: df.groupBy(F.coalesce("o_orderstatus", F.lit("none")).alias("id")).agg(F.count("*").alias("n"))
+    batches = lambda df, k: df.sparkSession.createDataFrame([(k,)], "batches int")
+
+    def patch(deps, last, log, state):
+        side = lambda k, sign: log["orders"].filter(F.col(k).isNotNull()).select(F.coalesce(f"{k}.o_orderstatus", F.lit("none")).alias("id"), F.lit(sign).alias("d"))
+        moved = side("new", 1).unionAll(side("old", -1)).groupBy("id").agg(F.sum("d").alias("d"))
+        out = moved.join(last, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("d")).alias("n"), F.col("n").isNull().alias("fresh"))
+        return out.select("id", F.when(F.col("n") == 0, "delete").when(F.col("fresh"), "insert").otherwise("update").alias("op"), "n"), state.select((F.col("batches") + 1).alias("batches"))
+
+    job = derive.Custom(lambda deps, state: count(deps["orders"]), incremental_patch=patch, create_state=lambda: batches(old, 0))
+    last, state = job.run({"orders": old})
+    value, state = job.run({"orders": new}, last, {"orders": changes.diff(old, new)}, state)
+    return value.crossJoin(F.broadcast(state))  # a row
+
+
+Q["custom_computation"] = (_custom, "SELECT coalesce(o_orderstatus, 'none') AS id, count(*) AS n, 1 AS batches FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 14 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 11 <> 0) GROUP BY 1")
 Q["async_tasks"] = (lambda c: derive.settle_tasks(c.scan("Event").select("id", "user_id", F.when(F.col("event_type") == "error", "pending").otherwise("success").alias("status")), ["user_id"]).groupBy("status").agg(F.count("*").alias("n")), "SELECT status, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'pending' WHEN event_id = max(event_id) FILTER (event_type <> 'error') OVER (PARTITION BY user_id) THEN 'applied' ELSE 'skipped' END AS status FROM events) GROUP BY status")
 
 
 def _snapshots(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    """Two snapshots of orders: the second lacks every eleventh, has every seventh's status changed and one in thirteen anew."""
+    """Two snapshots of orders: the second lacks every eleventh, has every seventh's status changed (every fourteenth's to null) and one in thirteen
+    anew."""
     o = c.scan("Order").select("id", "o_custkey", "o_orderstatus", "o_totalprice")
-    new = o.filter("id % 11 <> 0").withColumn("o_orderstatus", F.when(F.col("id") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))).withColumn("o_totalprice", F.when(F.col("id") % 7 == 0, F.col("o_totalprice") + 10).otherwise(F.col("o_totalprice")))
+    new = o.filter("id % 11 <> 0").withColumn("o_orderstatus", F.when(F.col("id") % 14 == 0, None).when(F.col("id") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))).withColumn("o_totalprice", F.when(F.col("id") % 7 == 0, F.col("o_totalprice") + 10).otherwise(F.col("o_totalprice")))
     return o.filter("id % 13 <> 0"), new
 
 
 _OLD = "(SELECT o_orderkey AS id, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 13 <> 0)"
-_NEW = "(SELECT o_orderkey AS id, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 10 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 11 <> 0)"
+_NEW = "(SELECT o_orderkey AS id, o_custkey, CASE WHEN o_orderkey % 14 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 10 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 11 <> 0)"
 Q["changelog_diff"] = (lambda c: changes.diff(*_snapshots(c)).select("id", "op", F.coalesce(F.array_join("keys", ","), F.lit("")).alias("keys")), f"SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'create' WHEN n.id IS NULL THEN 'delete' ELSE 'update' END AS op, CASE WHEN o.id IS NULL OR n.id IS NULL THEN '' ELSE 'o_orderstatus,o_totalprice' END AS keys FROM {_OLD} o FULL JOIN {_NEW} n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.id % 7 = 0")
 Q["event_pattern"] = (lambda c: changes.diff(*_snapshots(c)).filter(changes.pattern({"type": "update", "keys": ["o_orderstatus"], "record": {"o_orderstatus": "X"}, "old": {"o_orderstatus": "F"}}, "new", "old")).select("id"), f"SELECT n.id FROM {_OLD} o JOIN {_NEW} n ON o.id = n.id WHERE n.o_orderstatus = 'X' AND o.o_orderstatus = 'F'")
 Q["view_membership_events"] = (lambda c: changes.membership(*[s.filter("o_totalprice > 100000 and o_orderstatus <> 'X'") for s in _snapshots(c)]), f"WITH a AS (SELECT id FROM {_OLD} WHERE o_totalprice > 100000 AND o_orderstatus <> 'X'), b AS (SELECT id FROM {_NEW} WHERE o_totalprice > 100000 AND o_orderstatus <> 'X') SELECT id, 'create' AS event FROM b WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT id, 'delete' FROM a WHERE id NOT IN (SELECT id FROM b)")
-Q["apply_patch"] = (lambda c: changes.apply_patch(_snapshots(c)[0], changes.diff(*_snapshots(c)).select("id", F.when(F.col("op") == "create", "insert").otherwise(F.col("op")).alias("op"), "new.*")).select("id", "o_orderstatus"), f"SELECT id, o_orderstatus FROM {_NEW}")
+Q["apply_patch"] = (lambda c: changes.apply_patch(_snapshots(c)[0], changes.diff(*_snapshots(c)).select("id", F.when(F.col("op") == "create", "insert").otherwise(F.col("op")).alias("op"), "keys", "new.*")).select("id", "o_orderstatus", "o_custkey"), f"SELECT id, o_orderstatus, o_custkey FROM {_NEW}")
 Q["dirty_hosts"] = (lambda c: changes.dirty_hosts(changes.diff(*_snapshots(c)).select("id"), c.scan("Order").select("id", F.col("o_custkey").alias("host"))), "SELECT DISTINCT o_custkey AS host FROM orders WHERE (o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0) AND NOT (o_orderkey % 11 = 0 AND o_orderkey % 13 = 0)")
 
 
@@ -153,9 +176,9 @@ Q["delta_every"] = (_delta(A.Every(("o_totalprice",), lambda i: i["o_totalprice"
 Q["delta_any"] = (_delta(A.Any_(("o_orderstatus",), lambda i: i["o_orderstatus"] == "X"), "ok"), f"SELECT c_custkey AS id, coalesce(bool_or(o_orderstatus = 'X'), false) AS ok FROM {_JOINED}")
 Q["delta_weighted"] = (_delta(A.WeightedSummation(("o_totalprice", "o_orderstatus"), lambda i: (F.when(i["o_orderstatus"] == "X", 2).otherwise(1), i["o_totalprice"])), "s", 2), f"SELECT c_custkey AS id, round(coalesce(sum(o_totalprice * CASE WHEN o_orderstatus = 'X' THEN 2 ELSE 1 END), 0), 2) AS s FROM {_JOINED}")
 
-Q["identity_insert_ignore"] = (lambda c: governance.insert_ignore(c.scan("Event").filter("event_id % 10 = 0"), c.scan("Event"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id"), "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) e WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM events k WHERE k.event_id % 10 = 0 AND k.user_id = e.user_id AND k.event_type = e.event_type)")
+Q["identity_insert_ignore"] = (lambda c: governance.insert_ignore(c.scan("Event").filter("event_type = 'signup'"), c.scan("Event"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id"), "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) e WHERE r = 1 AND event_type <> 'signup'")
 Q["idempotent_dedup"] = (lambda c: governance.idempotent(c.scan("Event"), ["user_id", "event_type", "props"], ["ts", "event_id"]).select("event_id"), "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
-Q["dispatch_batch"] = (lambda c: governance.dispatch(c.scan("Event").filter("event_id % 2 = 1"), c.scan("Event").filter("event_id % 2 = 0"), ["user_id", "props"], ["ts", "event_id"], F.col("event_type") != "error")["created"].select("event_id"), "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, props ORDER BY ts, event_id) AS r FROM events WHERE event_id % 2 = 1) e WHERE r = 1 AND event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events k WHERE k.event_id % 2 = 0 AND k.user_id = e.user_id AND k.props = e.props)")
+Q["dispatch_batch"] = (lambda c: governance.dispatch(c.scan("Event").filter("ts >= '2024-01-10'"), c.scan("Event").filter("ts < '2024-01-10'"), ["user_id", "props"], ["ts", "event_id"], F.col("event_type") != "error", lambda df: df.withColumn("points", F.col("value") * F.col("rate")), open_=lambda df: df.withColumn("rate", F.when(F.col("event_type") == "purchase", 2.0).otherwise(1.0)), after=lambda out: out["created"].select("event_id", F.round("points", 4).alias("points")))["answer"], "SELECT event_id, round(value * CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END, 4) AS points FROM (SELECT *, row_number() OVER (PARTITION BY user_id, props ORDER BY ts, event_id) AS r FROM events WHERE ts >= TIMESTAMP '2024-01-10') e WHERE r = 1 AND event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events k WHERE k.ts < TIMESTAMP '2024-01-10' AND k.user_id = e.user_id AND k.props = e.props)")
 Q["guard_conditions"] = (lambda c: governance.guard(c.scan("Event"), "buyer && !(small || old)", {"buyer": lambda: F.col("event_type") == "purchase", "small": lambda: F.col("value") < 20, "old": lambda: F.col("ts") < _now() - F.expr("INTERVAL 20 DAYS")})[0].select("event_id"), "SELECT event_id FROM events WHERE event_type = 'purchase' AND NOT (value < 20 OR ts < TIMESTAMP '2024-01-10')")
 Q["unique_violations"] = (lambda c: governance.unique_violations(c.scan("Lineitem"), ["l_orderkey", "l_linenumber"]), "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 Q["filtered_unique_violations"] = (lambda c: governance.unique_violations(c.scan("Order"), ["o_custkey", "status_n"], [("o_orderpriority", "in", ["1-URGENT", "2-HIGH"]), ("o_orderstatus", "notEquals", "F")]), "SELECT o_custkey, o_orderstatus AS status_n, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O' GROUP BY ALL HAVING count(*) > 1")
@@ -164,25 +187,32 @@ Q["cascade_delete"] = (lambda c: governance.cascade_delete(c, "Order", M("o_tota
 Q["delete_by_match"] = (lambda c: governance.delete(c.scan("Order"), find(c, "Order", M("lineitems", "exist", M("l_returnflag", "=", "R")), attrs=["id"])).select("id"), "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 Q["hard_delete"] = (lambda c: governance.hard_delete(c.scan("Customer").withColumn("_isDeleted_", F.when(F.col("c_acctbal") < 0, True))).select("id"), "SELECT c_custkey AS id FROM customer WHERE c_acctbal >= 0")
 Q["update_by_match"] = (lambda c: governance.update_by_match(c, "Customer", M("nation.region.r_name", "=", "ASIA"), {"c_acctbal": F.col("c_acctbal") + 1}).select("id", F.round("c_acctbal", 2).alias("c_acctbal")), "SELECT c_custkey AS id, round(c_acctbal + (r_name = 'ASIA')::INT, 2) AS c_acctbal FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
-Q["relation_replace"] = (lambda c: governance.replace_links(c.links(c.relations["PartSuppliers"]), c.scan("Part").filter("p_partkey <= 20").select(F.col("p_partkey").alias("source"), F.lit(1).cast("bigint").alias("target"), F.lit(0.0).alias("quantity"))).select("source", "target", "quantity"), "SELECT l_partkey AS source, l_suppkey AS target, sum(l_quantity) AS quantity FROM lineitem WHERE l_partkey > 20 GROUP BY ALL UNION ALL SELECT p_partkey, 1, 0 FROM part WHERE p_partkey <= 20")
-Q["add_links_one"] = (lambda c: governance.add_links(c.scan("Customer").select(F.col("c_nationkey").alias("source"), F.col("id").alias("target")).filter("target < 50"), c.scan("Customer").filter("c_custkey between 40 and 80").select((F.col("c_nationkey") + 100).alias("source"), F.col("id").alias("target"), F.col("id").alias("seq")), "1:n").select("source", "target"), "SELECT c_nationkey AS source, c_custkey AS target FROM customer WHERE c_custkey < 40 UNION ALL SELECT c_nationkey + 100, c_custkey FROM customer WHERE c_custkey BETWEEN 40 AND 80")
+Q["relation_replace"] = (lambda c: governance.replace_links(c.links(c.relations["PartSuppliers"]), c.scan("Part").filter("p_size > 25").select(F.col("p_partkey").alias("source"), F.lit(1).cast("bigint").alias("target"), F.lit(0.0).alias("quantity"))).select("source", "target", "quantity"), "SELECT l_partkey AS source, l_suppkey AS target, sum(l_quantity) AS quantity FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY ALL UNION ALL SELECT p_partkey, 1, 0 FROM part WHERE p_size > 25")
+Q["add_links_one"] = (lambda c: governance.add_links(c.scan("Customer").filter("c_acctbal < 5000").select(F.col("c_nationkey").alias("source"), F.col("id").alias("target")), c.scan("Customer").filter("c_acctbal > 0").select((F.col("c_nationkey") + 100).alias("source"), F.col("id").alias("target"), F.col("id").alias("seq")), "1:n").select("source", "target"), "SELECT CASE WHEN c_acctbal > 0 THEN c_nationkey + 100 ELSE c_nationkey END AS source, c_custkey AS target FROM customer")
 Q["allocate_ids"] = (lambda c: governance.allocate_ids(c.scan("Order").select("id"), c.scan("Customer").select("c_custkey"), ["c_custkey"]).select("id", "c_custkey"), "SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY c_custkey) AS id, c_custkey FROM customer")
 Q["insert_rows"] = (lambda c: governance.insert(c.scan("Vendor").select("id", "name"), c.scan("Client").filter("balance > 9000").select("id", "name")), "SELECT 'S' || s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT 'C' || c_custkey, c_name FROM customer WHERE c_acctbal > 9000")
 Q["payload_ref_check"] = (lambda c: governance.payload_errors(c.scan("Event").select("event_id", (F.col("user_id") * 40).alias("customer"), F.when(F.col("value") > 1, F.col("value")).alias("value")), [{"name": "customer", "ref": "customer"}, {"name": "value", "required": True}], "event_id", {"customer": c.scan("Customer")}), "SELECT event_id, 'customer' AS field, 'ref' AS error FROM events WHERE user_id * 40 NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT event_id, 'value', 'required' FROM events WHERE value IS NULL OR value <= 1")
-Q["default_backfill"] = (lambda c: c.scan("Order").select("id", F.coalesce("status_n", F.lit("NEW")).alias("status")), "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'NEW' ELSE o_orderstatus END AS status FROM orders")
+Q["default_backfill"] = (lambda c: governance.backfill(c.scan("Order").select("id", "o_orderstatus"), Property("stage", default="NEW")), "SELECT o_orderkey AS id, o_orderstatus, 'NEW' AS stage FROM orders")
+Q["union_defaults"] = (lambda c: governance.with_input_defaults({"Buyer": Entity("Buyer", (Property("tier", default="gold"),)), "Seller": Entity("Seller", (Property("tier", default="trade"), Property("fee", "number", default=2.5)))}, c.scan("Customer").select("id", F.lit("Buyer").alias("__type")).unionAll(c.scan("Supplier").select("id", F.lit("Seller")))), "SELECT c_custkey AS id, 'Buyer' AS __type, 'gold' AS tier, NULL::DOUBLE AS fee FROM customer UNION ALL SELECT s_suppkey, 'Seller', 'trade', 2.5 FROM supplier")
+Q["null_out"] = (lambda c: governance.null_out(c, "Order", M("o_orderstatus", "=", "F"), ["o_custkey"]).select("id", "o_custkey"), "SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS o_custkey FROM orders")
+Q["deletion_events"] = (lambda c: governance.deletion_events(governance.cascade_delete(c, "Order", M("o_totalprice", ">", 400000)), set(c.relations)).filter("record in ('Order', 'Lineitem')").select("record", "id", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("step")).alias("place")), "SELECT 'Order' AS record, o_orderkey::VARCHAR AS id, 2 AS place FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT DISTINCT 'Lineitem', (l_orderkey * 8 + l_linenumber)::VARCHAR, 1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_totalprice > 400000")
+Q["guard_scope"] = (lambda c: governance.guard_scope(c.scan("Order").select("id", "o_custkey", F.lit(1).alias("number")), c.scan("Order").select("id", "o_custkey", F.lit(2).alias("number")), ["o_custkey"], "number"), "SELECT o_orderkey AS id, o_custkey, 2 AS number FROM orders")
 Q["finite_values"] = (lambda c: _dirty(c).scan("Event").select("id", finite(F.col("value")).alias("v")), f"SELECT event_id AS id, v FROM {_DIRTY}")
 
 
 def _computed(c: Catalog) -> DataFrame:
-    e = Entity("Line", (Property("total", "number", computed=lambda r: r["l_extendedprice"] * (1 - r["l_discount"])), Property("note", default="none")))
-    return rounded(governance.with_defaults(e, c.scan("Lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")).select("l_orderkey", "l_linenumber", "total", "note"), "total", digits=4)
+    e = Entity("Line", (Property("total", "number", computed=lambda r: r["l_extendedprice"] * (1 - r["l_discount"])), Property("note", default="none"), Property("flag", default="new")))
+    # every payload lacks `note`; only those of odd lines have `flag`, which is null in some
+    lines = c.scan("Lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).alias("flag"))
+    written = F.when(F.col("l_linenumber") % 2 == 1, F.array(F.lit("flag"))).otherwise(F.array().cast("array<string>"))
+    return rounded(governance.with_defaults(e, lines, written).select("l_orderkey", "l_linenumber", "total", "note", "flag"), "total", digits=4)
 
 
-Q["computed_and_default"] = (_computed, "SELECT l_orderkey, l_linenumber, round((l_extendedprice::DECIMAL(18, 2) * (1 - l_discount::DECIMAL(18, 2)))::DOUBLE, 4) AS total, 'none' AS note FROM lineitem")
+Q["computed_and_default"] = (_computed, "SELECT l_orderkey, l_linenumber, round((l_extendedprice::DECIMAL(18, 2) * (1 - l_discount::DECIMAL(18, 2)))::DOUBLE, 4) AS total, 'none' AS note, CASE WHEN l_linenumber % 2 = 0 THEN 'new' WHEN l_returnflag <> 'A' THEN l_returnflag END AS flag FROM lineitem")
 Q["member_change"] = (lambda c: changes.diff(*_snapshots(c)).select("id", changes.member_change(F.col("old.o_orderstatus") == "F", F.col("new.o_orderstatus") == "F").alias("move")).filter("move <> 'none'"), f"SELECT coalesce(o.id, n.id) AS id, CASE WHEN coalesce(o.o_orderstatus = 'F', false) THEN 'left' ELSE 'entered' END AS move FROM {_OLD} o FULL JOIN {_NEW} n ON o.id = n.id WHERE coalesce(o.o_orderstatus = 'F', false) <> coalesce(n.o_orderstatus = 'F', false)")
-Q["merged_event_view"] = (lambda c: changes.diff(*_snapshots(c)).select("id", changes.merged_view(changes.diff(*_snapshots(c))).alias("r")).select("id", "r.o_orderstatus", "r.o_custkey"), f"SELECT coalesce(o.id, n.id) AS id, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus, coalesce(n.o_custkey, o.o_custkey) AS o_custkey FROM {_OLD} o FULL JOIN {_NEW} n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.id % 7 = 0")
+Q["merged_event_view"] = (lambda c: (log := changes.diff(*_snapshots(c))).select("id", changes.merged_view(log).alias("r")).select("id", "r.o_orderstatus", "r.o_custkey"), f"SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.o_orderstatus ELSE n.o_orderstatus END AS o_orderstatus, CASE WHEN n.id IS NULL THEN o.o_custkey ELSE n.o_custkey END AS o_custkey FROM {_OLD} o FULL JOIN {_NEW} n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.id % 7 = 0")
 Q["attribute_trigger"] = (lambda c: changes.diff(*_snapshots(c)).filter((F.col("op") == "update") & changes.touches(F.col("keys"), ["o_orderstatus"])).select("id"), f"SELECT n.id FROM {_OLD} o JOIN {_NEW} n ON o.id = n.id WHERE o.id % 7 = 0")
-Q["create_graph"] = (lambda c: governance.create_graph({"Customer": c.scan("Customer").select("id", "c_name"), "Order": c.scan("Order").select("id", "o_custkey")}, {"Customer": c.scan("Supplier").filter("id <= 3").select((F.col("id") + 1000000).alias("id"), F.col("s_name").alias("c_name")), "Order": c.scan("Supplier").filter("id <= 3").select((F.col("id") + 9000000).alias("id"), (F.col("id") + 1000000).alias("o_custkey"))}, {"Order": [("o_custkey", "Customer")]})["Order"].select("id", "o_custkey"), "SELECT o_orderkey AS id, o_custkey FROM orders UNION ALL SELECT s_suppkey + 9000000, s_suppkey + 1000000 FROM supplier WHERE s_suppkey <= 3")
+Q["create_graph"] = (lambda c: governance.create_graph({"Customer": c.scan("Customer").select("id", "c_name"), "Order": c.scan("Order").select("id", "o_custkey")}, {"Customer": c.scan("Supplier").select((F.col("id") + 1000000).alias("id"), F.col("s_name").alias("c_name")), "Order": c.scan("Supplier").select((F.col("id") + 9000000).alias("id"), (F.col("id") + 1000000).alias("o_custkey"))}, {"Order": [("o_custkey", "Customer")]})["Order"].select("id", "o_custkey"), "SELECT o_orderkey AS id, o_custkey FROM orders UNION ALL SELECT s_suppkey + 9000000, s_suppkey + 1000000 FROM supplier")
 Q["millis_round_trip"] = (lambda c: c.scan("Event").select("id", millis(F.col("ts").cast("timestamp")).alias("ms"), (from_millis(millis(F.col("ts").cast("timestamp"))) <= F.col("ts").cast("timestamp")).alias("ok")), "SELECT event_id AS id, epoch_us(ts) // 1000 AS ms, true AS ok FROM events")
 Q["json_canonical"] = (lambda c: c.scan("Event").select("id", json_column(F.concat(F.lit('{"z": 1, "a": '), "props", F.lit("}"))).alias("j")), "SELECT event_id AS id, '{\"a\":{\"k\":' || json_extract(props, '$.k') || '},\"z\":1}' AS j FROM events")
 Q["ids_as_text"] = (lambda c: c.scan("Client").join(c.scan("Customer"), same_id(F.substring(c.scan("Client")["id"], 2, 20), F.col("c_custkey"))).select("c_custkey"), "SELECT c_custkey FROM customer")

@@ -218,7 +218,7 @@ def test_governance(cat, spark):
     with pytest.raises(governance.ConstraintError):
         governance.create_graph({"A": cat.scan("A").select("id"), "B": cat.scan("B")}, {"B": spark.createDataFrame([(99, 1.0, 77)], "id int, y double, a_id int")}, {"B": [("a_id", "A")]})
     e = Entity("E", (Property("a", "number", default=7), Property("b", "number", computed=lambda r: r["a"] * 2)))
-    assert governance.with_defaults(e, spark.createDataFrame([(1, None), (2, 3.0)], "id int, a double")).select("b").collect() == [(14.0,), (6.0,)]
+    assert governance.with_defaults(e, spark.createDataFrame([(1, None), (2, 3.0)], "id int, a double")).select("b").collect() == [(None,), (6.0,)]  # an explicit null is no missing value
     with pytest.raises(ModelError):
         governance.with_defaults(Entity("E", (Property("b", "number", computed=lambda r: r["rel.x"]),)), spark.range(1))
     bad = governance.payload_errors(spark.createDataFrame([(1, "x"), (2, "3")], "id int, n string"), [{"name": "n", "type": "number"}])
