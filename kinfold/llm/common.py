@@ -15,13 +15,15 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_IDS = 500_000
 #: Buckets go on to all their pairs once there are no more than so many for each member.
 FEW_PAIRS = 8
-#: Where spark.checkpoint.dir is unset (tests, a single machine).
-LOCAL_SHARED = "/tmp/checkpoints/kinfold"
+#: Where spark.checkpoint.dir is unset and one machine does all (tests).
+LOCAL_SHARED = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Unset, it is an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(found or LOCAL_SHARED).rstrip('/')}/kinfold"
 
 
@@ -43,11 +45,11 @@ class Staging:
         return out
 
     def bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
-        """The same, as a table bucketed by a column: joins on it do not shuffle its rows again."""
+        """One row for each value of a column, as a table bucketed by it: joins on it do not shuffle its rows again."""
         self.n += 1
         n, path = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"{self.root}/{self.n:03d}-{name}"
         known = f"kinfold_{name}_{uuid.uuid4().hex}"
-        df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(known)
+        df.repartition(n, by).dropDuplicates([by]).write.bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(known)
         out = self.spark.table(known)
         out.staged_at, out.known_as = path, known
         self.here.append(out)
@@ -78,17 +80,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def skewless(stage: Staging, pairs: DataFrame, facts: DataFrame, key: str, most: int) -> DataFrame:
-    """pairs joined with facts, of which each key has one row. A key of over `most` pairs is dealt over several copies of its row, so that
-    no task gets all of them."""
+    """pairs joined with facts, of which each key has one row. The pairs of a key with over `most` are dealt over several copies of its row,
+    so that no task gets all of them."""
     hot = stage.cut(pairs.groupBy(key).count().filter(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_n")), "hot")
     n = hot.count()
+    plain = pairs.join(facts, key)
     if not n:
-        return pairs.join(facts, key)
+        return plain
     hot = F.broadcast(hot) if n <= BROADCAST_IDS else hot
     other = next(c for c in pairs.columns if c != key)
-    dealt = pairs.join(hot, key, "left").withColumn("_s", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64(other), F.col("_n"))).otherwise(0).cast("int")).drop("_n")
-    copies = facts.join(hot, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
-    return dealt.join(copies, [key, "_s"]).drop("_s")
+    dealt = pairs.join(hot, key).withColumn("_s", F.pmod(F.xxhash64(other), F.col("_n")).cast("int")).drop("_n")
+    copies = facts.join(hot, key).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return pairs.join(hot, key, "left_anti").join(facts, key).select(*plain.columns).unionByName(dealt.join(copies, [key, "_s"]).select(*plain.columns))
 
 
 def ascii_lower(c: Column) -> Column:

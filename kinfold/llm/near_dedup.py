@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, bucket_links, few_ids, word_grams, words
+from .common import Staging, bucket_links, components, few_ids, skewless, word_grams, words
 
 #: Nodes in a block of a large list; a pair of blocks is one group of a task.
 BLOCK = 512
+#: A hot centre's sketch and set are copied so that a join by it has no more than so many pairs for each copy.
+SALTED = 512
 #: Words end at white space.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -79,11 +81,11 @@ def _block_links(p: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 32) -> DataFrame:
-    """docs with n_shingles, component_id and kept.
+    """doc_id, n_shingles and component_id for every row of docs.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of `width`-word shingles.
 
-    * Equal sets fall together first (their smallest id stands for all).
+    * Equal sets fall together first (they are one class).
     * A sketch holds the k smallest hashes of a set. Sketches of linked sets share at least m of k values, but for a chance
       of under 1e-9; hence they share one of the k - m + 1 values of each that are rarest in the corpus. Those values
       make the inverted lists: passages that many documents share drop out unless they make up most of a document.
@@ -91,17 +93,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
       sets. What is left open in large lists goes block against block, on full sets.
 
     Null, empty or blank texts have no shingles and no links; nor have rows with a null id, which are kept, with a null component.
-    Rows of one id are one document: all links of its texts count. Columns of docs named like the
-    new ones are replaced.
+    Rows of one id are one document: all links of its texts count, also for a row of it without words.
     """
-    spark, sim = docs.sparkSession, percent / 100
-    stage = Staging(spark)
+    sim = percent / 100
+    stage = Staging(docs.sparkSession)
     sets = shingle_sets(docs, id_col, text_col, width)
-    sig = stage.cut(sets.select("doc_id", F.size("hashes").alias("n"), F.slice("hashes", 1, k).alias("sketch"), F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(7), "hashes").alias("h2")), "sketches")
+    hashes = [F.size("hashes").alias("n"), F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(7), "hashes").alias("h2")]
+    same = ["h1", "h2", "n"]
+    sig = stage.cut(sets.select("doc_id", F.slice("hashes", 1, k).alias("sketch"), *hashes), "sketches")
     real = sig.filter("n > 0 and doc_id is not null")
-    # any_value: rows of one class have one sketch
-    reps = real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.any_value("sketch").alias("sketch"))
-    reps = stage.cut(reps, "classes")
+    # any_value: rows of one class have one sketch. A class has a number of its own: one id may have texts in several
+    reps = real.groupBy(*same).agg(F.min("doc_id").alias("first_doc"), F.any_value("sketch").alias("sketch"))
+    reps = stage.cut(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
     entries = reps.select("node", "n", F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     per_doc = entries.join(shared, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("c"))
@@ -114,12 +117,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the full sets of the representatives that share a list with another one, once
     lists = stage.cut(lists, "prefixes")
     wanted = lists.join(lists.groupBy("bucket").count().filter("count > 1"), "bucket", "left_semi").select("node").distinct()
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(few_ids(stage.cut(wanted, "wanted")), "node", "left_semi")
-    full = shingle_sets(texts, "node", "text", width).withColumnRenamed("doc_id", "node").withColumn("n", F.size("hashes"))
-    full = stage.bucketed(full.dropDuplicates(["node", "n"]), "sets", "node")  # no filter on n: it would be pushed below the shingles
+    wanted = stage.cut(reps.select("node", "first_doc", *same).join(wanted, "node"), "wanted")
+    ids = stage.cut(wanted.select(F.col("first_doc").alias("doc_id")).distinct(), "ids")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(few_ids(ids), "doc_id", "left_semi")
+    full = shingle_sets(texts, "doc_id", "text", width).select("doc_id", "hashes", *hashes)
+    full = full.join(few_ids(wanted.withColumnRenamed("first_doc", "doc_id")), ["doc_id", *same])
+    full = stage.bucketed(full.select("node", "n", "hashes"), "sets", "node")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sketches.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"}), "b")
+        p = skewless(stage, pairs, sketches.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), "a", SALTED)
+        p = skewless(stage, p, sketches.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"}), "b", SALTED)
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         p = p.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).withColumn("u", union)
         least = F.element_at(F.array(*[F.lit(least_shared(i, sim)) for i in range(1, k + 1)]), F.size("u"))
@@ -127,11 +134,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = stage.cut(p, "candidates")
         if p.isEmpty():
             return p.select("a", "b")
-        p = p.join(full.select(F.col("node").alias("a"), F.col("n").alias("ma"), F.col("hashes").alias("fa")), "a").join(full.select(F.col("node").alias("b"), F.col("n").alias("mb"), F.col("hashes").alias("fb")), "b")
-        p = p.filter("ma - na = 0 and mb - nb = 0")  # as an equality it would become a join key, for which the sets would be shuffled
+        p = skewless(stage, p, full.select(F.col("node").alias("a"), F.col("hashes").alias("fa")), "a", SALTED)
+        p = skewless(stage, p, full.select(F.col("node").alias("b"), F.col("hashes").alias("fb")), "b", SALTED)
         both = F.size(F.array_intersect("fa", "fb"))
-        out = stage.cut(p.withColumn("i", both).filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"), "verified")
-        return out
+        return stage.cut(p.withColumn("i", both).filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"), "verified")
 
     def crowd(members: DataFrame) -> DataFrame:
         """The links between components in large lists, block against block.
@@ -159,6 +165,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     label = bucket_links(stage, lists, verify, crowd=crowd)
     stage.drop(full)
-    found = reps.join(label, "node", "left").select("h1", "h2", "n", F.coalesce("comp", "node").alias("component_id"))
-    ids = sig.join(found, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return ids
+    rows = stage.cut(sig.select("doc_id", *same).join(reps.select("node", "first_doc", *same), same, "left"), "rows")
+    # an id with several texts links their classes
+    several = rows.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    several = stage.cut(several.filter("doc_id is not null and (lo < hi or least <> most)").select("doc_id", "lo"), "several")
+    repeats = not several.isEmpty()
+    if repeats:
+        links = rows.filter("node is not null").join(several, "doc_id").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+        label = components(stage, label.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(links))
+    of = label.join(reps.select("node", "first_doc"), "node")
+    of = of.join(of.groupBy("comp").agg(F.min("first_doc").alias("component_id")), "comp").select("node", "component_id")
+    out = rows.join(of, "node", "left").select("doc_id", "n", F.coalesce("component_id", "first_doc").alias("found"))
+    if repeats:  # a text without words goes with the others of its id
+        mine = stage.cut(out.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("found").alias("by_id")), "by-id")
+        out = out.join(mine, "doc_id", "left").withColumn("found", F.coalesce("found", "by_id"))
+    out = stage.cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id")), "found")
+    stage.keep_only(out)
+    return out
