@@ -22,16 +22,6 @@ CHUNK_ROWS, SPAN_CHUNKS = 256, 4096
 MOST_SOURCES = 50_000
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole parts of the period in proportion to the weights, by largest remainders; one at least."""
-    names, total = sorted(weights), sum(weights.values())
-    exact = {s: weights[s] / total * (period - len(names)) for s in names}
-    out = {s: 1 + int(exact[s]) for s in names}
-    for s in sorted(names, key=lambda s: (-(exact[s] - int(exact[s])), s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
 def pfair(parts: dict[str, int], periods: int = 1) -> Iterator[tuple[str, int, int, int, int]]:
     """(source, block, release, deadline, slot) of so many periods of sum(parts) slots.
 
@@ -67,11 +57,10 @@ def plan(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[st
     """(source, block, release, deadline, slot) of every block, in the order of the slots.
 
     All blocks are dealt. A phase ends when a source runs out; the rest share the slots in the same proportions from then on, with
-    windows that start there. Sources of no weight share what is left when the others have run out. There are at most as many
-    phases as sources. The weights are exact, so within a phase no error adds up. What is held is a few numbers for each source."""
+    windows that start there. There are at most as many phases as sources. The weights are exact, so within a phase no error adds up. What is held is a few numbers for each source."""
     left, done, slot = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0
     while left:
-        parts = whole({s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1))
+        parts = whole({s: weights[s] for s in left})
         first, start = dict(done), slot
         for s, j, release, deadline, t in pfair(parts, max(left.values()) + 1):
             yield s, first[s] + j, start + release, start + deadline, start + t
@@ -97,7 +86,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     Each source's documents stand in the order of a hash and are cut into blocks of block_words words (a document belongs to the
     block in which it starts). Blocks are dealt to slots by `plan`; weights default to the words of a source to the power alpha.
     Every row comes out once. A null source is a source of its own; null texts have no words. Sources without a target weight get the smallest one.
-    Ties of the hash are broken by id. Repeated rows stay. An empty table gives an empty one.
+    A weight that is not a positive number is an error. The hash is of id and text; its ties are broken by them. Repeated rows stay. An empty table gives an empty one.
 
     Running sums go over chunks of a bounded number of rows, then spans of chunks, so that a source of any size has no window in one task.
     """
@@ -107,13 +96,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
     src = F.coalesce(F.col("_source").cast("string"), F.lit("\0null"))
     words = F.coalesce(F.regexp_count("_text", F.lit(r"\S+")), F.lit(0)).cast("bigint")
-    base = base.withColumns({"_s": src, "_w": words, "_h": F.xxhash64("_id", F.lit(3))})
+    base = base.withColumns({"_s": src, "_w": words, "_h": F.xxhash64("_id", F.lit(3), "_text")})
     sizes = base.groupBy("_s").agg(F.count("*").alias("rows"), F.sum("_w").alias("words"))
     sizes = sizes.limit(MOST_SOURCES + 1).collect()  # a row for each source
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; join small ones first")
     blocks = {r["_s"]: (r["words"] - 1) // block_words + 1 if r["words"] else 1 for r in sizes}
     target = weights or {r["_s"]: max(1, r["words"]) ** alpha for r in sizes}
+    if bad := [s for s, w in target.items() if not 0 < w < float("inf")]:
+        raise ValueError(f"weights that are not positive numbers: {bad[:5]}")
     # chunks: ranges of the hash, so that their order is the order of the hash
     chunk_of = spark.createDataFrame([(r["_s"], max(1, -(-r["rows"] // CHUNK_ROWS)), blocks[r["_s"]] - 1) for r in sizes], "_s string, _n bigint, _last bigint")
     place = (F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.lit(-(2**63))), 33).cast("bigint") * F.col("_n") / F.lit(2**31)).cast("bigint")
@@ -131,5 +122,5 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     # a last document without words can start where the last block ends
     out = base.withColumn("_b", F.least("_b", "_last")).join(deals, (F.col("_s") == F.col("_t")) & (F.col("_b") == F.col("block")))
     at = lambda k: deals[k].cast("bigint").alias(k)
-    pos = (F.col("_c") * (1 << 20) + F.col("_r")).cast("bigint").alias("mix_pos")
+    pos = (F.col("_c") * (1 << 31) + F.col("_r")).cast("bigint").alias("mix_pos")
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in names], F.col("_b").cast("bigint").alias("source_block"), at("release"), at("deadline"), at("slot"), pos)
