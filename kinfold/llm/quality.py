@@ -69,7 +69,7 @@ def posterior(votes: np.ndarray, prior: float, table: np.ndarray) -> np.ndarray:
 def shape(w: str) -> str:
     """A word's kinds of characters, runs squeezed to two."""
     out = []
-    for c in w[:40]:
+    for c in w:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if len(out) < 2 or out[-1] != k or out[-2] != k:
             out.append(k)
