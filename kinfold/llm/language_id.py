@@ -105,9 +105,9 @@ class ByteCNN:
         return np.concatenate(probs)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, most_windows: int = 20) -> tuple[ByteCNN | None, list[str]]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> tuple[ByteCNN | None, list[str]]:
     """A network fitted on at most per_language labelled rows of each language outside the held-out ones, picked by the hash of
-    their id, and at most most_windows windows of each. Rows with null or empty texts teach nothing."""
+    their id, with all their windows. Rows with null or empty texts teach nothing."""
     rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
     counts = rows.groupBy("lang").count()  # a row for each language
@@ -115,8 +115,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # about four times as many by the hash, so that no task gathers that many from each part of the table
     rows = rows.join(F.broadcast(counts), "lang").filter(F.pmod("h", F.lit(1 << 31)) <= share * (1 << 31))
     by = Window.partitionBy("lang").orderBy("h", "id")
-    rows = rows.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= per_language).select("id", "lang")
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "id").toPandas()
+    rows = rows.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= per_language).select("id", "lang").distinct()
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "id").groupBy("id", "lang").agg(F.min("text").alias("text")).toPandas()  # one text for each
     sample = sample[sample.text.notna()].sort_values(["id", "text"])
     if sample.empty:
         return None, []
@@ -124,7 +124,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     xs, ys, r = [], [], np.random.default_rng(3)
     for t, k in zip(sample.text, y):
         x, _ = windows([t])
-        pick = x[r.permutation(len(x))[:most_windows]]
+        pick = x[r.permutation(len(x))]
         cut = pick[:1].copy()
         cut[:, int(r.integers(8, 128)) :] = 0  # short texts occur too
         xs += [pick, cut]
