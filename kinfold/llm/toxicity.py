@@ -52,6 +52,7 @@ class BiGRU:
         self.p = {"we": r.normal(0, 0.3, (len(vocab) + 2, WORD_DIM)), "ce": r.normal(0, 0.3, (CHARS, CHAR_DIM)), "wa": r.normal(0, 0.4, (2 * h, h)), "va": r.normal(0, 0.4, h), "wo": r.normal(0, 0.4, 2 * h), "bo": np.array([-1.0])}
         for k in "fb":
             self.p |= {f"x{k}": r.normal(0, d**-0.5, (d, 3 * h)), f"u{k}": r.normal(0, h**-0.5, (h, 3 * h)), f"b{k}": np.zeros(3 * h)}
+        self.p["ce"][0] = 0  # no gram
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.m, self.v, self.t = {}, {}, 0
         self.scale, self.shift = 1.0, 0.0  # of a document's highest logit, to a probability
@@ -79,11 +80,17 @@ class BiGRU:
         pooled = (s[:, :, None] * hs).sum(0)
         return a, s, pooled, pooled @ self.p["wo"] + self.p["bo"][0]
 
-    def step(self, words: np.ndarray, chars: np.ndarray, real: np.ndarray, y: np.ndarray, rate: float) -> None:
-        """One Adam step on windows: word ids (T, B), grams (T, B, G; 0 pads), which are words (T, B), labels (B)."""
+    def step(self, words: np.ndarray, forms: np.ndarray, grams: tuple[np.ndarray, np.ndarray], real: np.ndarray, y: np.ndarray, rate: float) -> None:
+        """One Adam step on windows: word ids (T, B), forms (T, B), which are words (T, B), labels (B). grams are those of all forms one
+        after the other, and where each form's begin."""
         p, n = self.p, HIDDEN
-        some = ((chars > 0) / np.sqrt(np.maximum((chars > 0).sum(-1, keepdims=True), 1)))[..., None].astype(np.float32)
-        e = np.concatenate([p["we"][words], (p["ce"][chars] * some).sum(2)], 2).astype(np.float32)
+        each, at = np.unique(forms, return_inverse=True)
+        at, begin, size = at.reshape(forms.shape), grams[1][each], grams[1][each + 1] - grams[1][each]
+        owner = np.repeat(np.arange(len(each)), size)
+        gram = grams[0][np.arange(len(owner)) + (begin - np.cumsum(size) + size)[owner]]
+        root = 1 / np.sqrt(np.maximum(size, 1))
+        summed = np.stack([np.bincount(owner, p["ce"][gram, i], len(each)) for i in range(CHAR_DIM)], 1) * root[:, None]
+        e = np.concatenate([p["we"][words], summed[at]], 2).astype(p["we"].dtype)
         kept, hs = {}, []
         for k in "fb":
             kept[k] = []
@@ -117,7 +124,8 @@ class BiGRU:
         for i in range(WORD_DIM):
             g["we"][:, i] = np.bincount(words.ravel(), de[:, :, i].ravel(), len(p["we"]))
         for i in range(CHAR_DIM):
-            g["ce"][:, i] = np.bincount(chars.ravel(), (de[:, :, WORD_DIM + i, None] * some[..., 0]).ravel(), CHARS)
+            back = np.bincount(at.ravel(), de[:, :, WORD_DIM + i].ravel(), len(each)) * root
+            g["ce"][:, i] = np.bincount(gram, back[owner], CHARS)
         g["ce"][0] = 0
         self.t += 1
         for k, x in g.items():
@@ -202,7 +210,7 @@ def calibrate(net: BiGRU, texts: list[str], toxic: np.ndarray, weight: np.ndarra
     net.scale, net.shift = max(0.05, float(b[0])), float(b[1])
 
 
-def fit(texts: list[str], toxic: np.ndarray, steps: int = 700, batch: int = 96, vocab_size: int = 20_000, most_grams: int = 24, seed: int = 9) -> BiGRU:
+def fit(texts: list[str], toxic: np.ndarray, steps: int = 700, batch: int = 96, vocab_size: int = 20_000, seed: int = 9) -> BiGRU:
     """Labels are of documents, the network scores windows: at first every window of a toxic document counts as toxic, after
     that its highest windows; half of the clean windows are then those it scores highest. Words lose their identity or
     a character now and then, so that characters carry weight too."""
@@ -221,10 +229,9 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 700, batch: int = 96,
     at = {w: i + 1 for i, w in enumerate(known)}
     spoil = [w if len(w) < 4 else w[: (c := 1 + crc32(w.encode("utf-8", "replace")) % (len(w) - 2))] + "*@01!x.-"[len(w) % 8] + w[c + 1 :] for w in known]
     two, three, start = grams(known + spoil)
-    table = np.zeros((2 * len(known) + 1, most_grams), np.int32)  # row 0 pads; the words, then the words with a character changed
-    for i, (a, z) in enumerate(zip(start, np.append(start[1:], len(two)))):
-        g = np.concatenate([two[a : z - 1], three[a : z - 2]])[:most_grams]
-        table[i + 1, : len(g)] = g
+    # form 0 pads and has no grams; the words, then the words with a character changed
+    each = [g for a, z in zip(start, np.append(start[1:], len(two))) for g in (two[a : z - 1], three[a : z - 2])]
+    table = (np.concatenate(each), np.concatenate([[0], np.cumsum([0, *(len(a) + len(b) for a, b in zip(each[::2], each[1::2]))])]))
     vid = np.array([PAD] + [net.vocab.get(w, OOV) for w in known] + [OOV] * len(known))
     docs = [np.array([at[w] for w in ws] + [0] * STEPS, np.int64) for ws in split]
     half = batch // 2
@@ -248,19 +255,21 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 700, batch: int = 96,
         drop = r.random(w.shape)
         w = np.where((drop > 0.96) & (w > 0), w + len(known), w)
         ids = np.where((drop < 0.1) & (w > 0), OOV, vid[w])
-        net.step(ids, table[w], real, np.repeat([1.0, 0.0], [half, batch - half]), 0.01 if t < steps * 0.6 else 0.003)
+        net.step(ids, w, table, real, np.repeat([1.0, 0.0], [half, batch - half]), 0.01 if t < steps * 0.6 else 0.003)
     return net
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> BiGRU | None:
     """A network fitted on at most per_class labelled documents of each class outside the held-out ones, picked by the hash of
-    their id. A fifth of them are for the calibration, to the shares of the classes among all labels."""
+    their id (of several texts of one id the first). A fifth of them are for the calibration, to the shares of the classes among all
+    labels. Words that fewer than two of them have, or that are not among the vocab_size most frequent, are known by their characters."""
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     known = known.withColumn("h", F.xxhash64("id"))
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
     first = lambda k: thinned(known.filter(F.col("y") == k), "h", per_class, share.get(k, 0)).orderBy("h", "id").limit(per_class)
     known = first(1).unionAll(first(0)).drop("h")
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").toPandas()
+    # one text for each id, so that no more comes back than was picked
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toPandas()
     sample = sample[sample.text.map(lambda t: t is not None and bool(t.strip())).astype(bool)].sort_values(["id", "text"])
     if not len(sample):
         return None

@@ -83,6 +83,23 @@ def test_near_duplicates_edges(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).isEmpty()
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Texts of one id link what is near to any of them, though their sets have one size; ids may be strings."""
+    r = random.Random(3)
+    a, b = words(r, 60, 9000), words(r, 60, 9000)
+    edit = lambda t: " ".join([*t[:30], "x", *t[31:]])
+    docs = [("1", " ".join(a)), ("1", " ".join(b)), ("7", edit(a)), ("8", edit(b)), ("9", edit(words(r, 60, 9000))), ("1", ""), ("5", None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id string, text string"), percent=80).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in got) == [("1", "1"), ("1", "1"), ("1", "1"), ("5", "5"), ("7", "1"), ("8", "1"), ("9", "9")]
+
+
+def test_joins_by_a_hot_key(spark):
+    pairs = spark.createDataFrame([(i, 0) for i in range(100)] + [(i, 1) for i in range(5)], "a bigint, b bigint")
+    facts = spark.createDataFrame([(i, f"f{i}") for i in range(100)], "b bigint, f string")
+    got = common.skewless(common.Staging(spark), pairs, facts, "b", 8)
+    assert sorted((x["a"], x["b"], x["f"]) for x in got.collect()) == sorted([(i, 0, "f0") for i in range(100)] + [(i, 1, "f1") for i in range(5)])
+
+
 def test_least_shared_is_a_tail():
     assert near_dedup.least_shared(32, 0.85) < 0.85 * 32 and near_dedup.least_shared(1, 0.85) == 0
 
@@ -158,7 +175,7 @@ def test_chat(spark):
 def test_pfair():
     r = random.Random(2)
     for _ in range(20):
-        parts = mixing.shares({f"s{i}": r.random() ** 3 + 1e-3 for i in range(r.randrange(1, 25))}, 512)
+        parts = {f"s{i}": r.randrange(1, 60) for i in range(r.randrange(1, 25))}
         period, got = sum(parts.values()), dict.fromkeys(parts, 0)
         for s, _, release, deadline, t in mixing.pfair(parts):
             assert release <= t < deadline
@@ -179,7 +196,22 @@ def test_plan_keeps_to_the_weights():
             if t < 8000:
                 assert max(abs(got[x] - (t + 1) * weights[x] / total) for x in weights) < 1 + 1e-9
         assert got == blocks
-    assert [(s, t) for s, _, _, _, t in mixing.plan({"a": 2, "b": 1}, {"a": 1, "b": 0})] == [("a", 0), ("a", 1), ("b", 2)]
+    # skewed weights, as given, for 10 ** 5 slots; many sources
+    for weights in ({"a": 0.9999, "b": 0.0001}, {"a": 0.70045, "b": 0.29955}):
+        got, total = dict.fromkeys(weights, 0), sum(weights.values())
+        for s, _, _, _, t in mixing.plan({"a": 10**5, "b": 10**5}, weights):
+            got[s] += 1
+            assert abs(got["b"] - (t + 1) * weights["b"] / total) < 1 + 1e-9
+            if t == 99_000:
+                break
+    assert len(list(mixing.plan({f"s{i}": 3 for i in range(5000)}, {f"s{i}": (i + 1) ** 0.5 for i in range(5000)}))) == 15_000
+
+
+def test_mixing_refuses_weights(spark):
+    d = spark.createDataFrame([(1, "x", "a"), (2, "y", "b")], "doc_id bigint, text string, source string")
+    for w in ({"a": 1.0, "b": 0.0}, {"a": -1.0}, {"a": float("nan")}):
+        with pytest.raises(ValueError):
+            mixing.mix(d, w)
 
 
 def test_mixing(spark):
@@ -299,22 +331,24 @@ def test_network_gradients():
     net = toxicity.BiGRU({"a": 2, "b": 3})
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     r = np.random.default_rng(2)
-    ids, chars = r.integers(0, 4, (5, 3)), r.integers(0, 9, (5, 3, 4))
+    ids, forms = r.integers(0, 4, (5, 3)), r.integers(0, 6, (5, 3))
+    lists = [[]] + [list(r.integers(1, 9, n)) for n in (1, 3, 4, 2, 30)]
+    grams = (np.concatenate(lists).astype(int), np.cumsum([0, *map(len, lists)]))
     real, y = np.ones((5, 3), bool), np.array([1.0, 0.0, 1.0])
 
     def loss():
-        some = ((chars > 0) / np.sqrt(np.maximum((chars > 0).sum(-1, keepdims=True), 1)))[..., None]
-        e = np.concatenate([net.p["we"][ids], (net.p["ce"][chars] * some).sum(2)], 2)
+        sums = np.stack([net.p["ce"][x].sum(0) / max(1, len(x)) ** 0.5 if x else np.zeros(toxicity.CHAR_DIM) for x in lists])
+        e = np.concatenate([net.p["we"][ids], sums[forms]], 2)
         hs = np.concatenate([net.run(e @ net.p[f"x{k}"] + net.p[f"b{k}"], k) for k in "fb"], 2)
         z = net.head(hs, real)[3]
         return np.mean(np.logaddexp(0, z) - y * z)
 
     base = {k: v.copy() for k, v in net.p.items()}
-    net.step(ids, chars, real, y, 0.0)
-    for k in ("uf", "xb", "wa", "va", "wo", "we", "bb"):
+    net.step(ids, forms, grams, real, y, 0.0)
+    for k in ("uf", "xb", "wa", "va", "wo", "we", "bb", "ce"):
         i = tuple(r.integers(0, n) for n in base[k].shape)
-        if k == "we":
-            i = (ids[0, 0], 1)
+        if k in ("we", "ce"):
+            i = (ids[0, 0] if k == "we" else grams[0][0], 1)
         eps = 1e-3
         net.p = {q: v.copy() for q, v in base.items()}
         net.p[k][i] += eps
