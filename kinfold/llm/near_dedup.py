@@ -121,7 +121,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = stage.cut(wanted.select(F.col("first_doc").alias("doc_id")).distinct(), "ids")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(few_ids(ids), "doc_id", "left_semi")
     full = shingle_sets(texts, "doc_id", "text", width).select("doc_id", "hashes", *hashes)
-    full = full.join(few_ids(wanted.withColumnRenamed("first_doc", "doc_id")), ["doc_id", *same])
+    # of several texts of an id the one that is wanted; as equalities the hashes would be join keys, and filters on them would be pushed below the shingles
+    full = full.join(few_ids(wanted.select("node", F.col("first_doc").alias("doc_id"), F.col("h1").alias("w1"), F.col("h2").alias("w2"))), "doc_id")
+    full = full.filter((F.col("h1").bitwiseXOR(F.col("w1")) == 0) & (F.col("h2").bitwiseXOR(F.col("w2")) == 0))
     full = stage.bucketed(full.select("node", "n", "hashes"), "sets", "node")
 
     def verify(pairs: DataFrame) -> DataFrame:
