@@ -165,8 +165,11 @@ def test_decontamination_removes_spans(spark):
 
 
 def test_chat(spark):
-    t = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (2, 2, "user", "more"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, "user", "more"), (4, 0, "user", "hi\x1fbot"), (5, 0, None, None), (5, 0, None, None), (None, 0, "user", "lone"), (6, None, "user", "hi")]
+    t = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (2, 2, "user", "more"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, "user", "more"), (4, 0, "user", "hi\x1fbot"), (5, 0, None, None), (5, 0, None, None), (None, 0, "user", "lone"), (None, 1, "user", "lone"), (6, None, "user", "hi")]
     got = {r["conv_id"]: r for r in chat.maximal_conversations(spark.createDataFrame(t, "conv_id bigint, turn bigint, role string, text string").withColumn("h", F.lit(0))).collect()}
+    odd = [(None, 0, "user", "x"), (None, 0, "bot", "x"), (None, 1, "user", "x"), (7, 0, "bot", "x"), (7, 1, "user", "y"), (8, 0, "user", "x")]
+    lone = chat.maximal_conversations(spark.createDataFrame(odd, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert sorted((x["conv_id"] or 0, x["n_turns"], x["kept"], x["rep_id"] or 0) for x in lone) == [(0, 1, False, 0), (0, 1, False, 8), (7, 2, True, 7), (8, 1, True, 8)]
     assert {k: v["kept"] for k, v in got.items()} == {1: False, 2: True, 3: False, 4: True, 5: True, None: True, 6: False}
     assert got[3]["rep_id"] == 2 and got[2]["rendered"].startswith("<|user|>\nhi<|end|>\n<|bot|>\nyo<|end|>") and got[5]["rendered"] == "<|unknown|>\n<|end|>" and got[5]["n_turns"] == 1 and got[1]["rendered"] is None
     assert chat.maximal_conversations(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).isEmpty()
