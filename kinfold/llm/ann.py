@@ -114,7 +114,7 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = 64, copies: int = 6, boundary: float = 1.2, most_lists: int = 96, query_ratio: float = 1.75, sample: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = 64, copies: int = 6, boundary: float = 1.2, most_lists: int = 96, query_ratio: float = 1.75, sample: int = 20_000, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest other rows found by Euclidean
     distance, ties to smaller ids.
 
@@ -122,7 +122,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     list and to others whose centroid is within `boundary` times that distance and not nearer to a list it has already, up to `copies`. A
     query visits the LEAST_LISTS nearest lists and those whose centroid is within `query_ratio` times the distance of the second nearest
     one (a query may be a centroid itself), up to most_lists, and further ones, nearest first, until k + 1 distinct ids are in them or
-    none is left. Lists are searched whole, in blocks of a bounded size. Distances are computed in double precision on the vectors as given.
+    none is left; with `exact` it visits them all. Lists are searched whole, in blocks of a bounded size. Distances are computed in double precision on the vectors as given.
 
     Equal vectors are indexed once, with their k + 1 smallest ids: no other of their ids can be among k nearest. Rows with a null id
     or an unusable vector (null, empty, zero, with null or non-finite components, or of another length than most) take no part. With fewer than k candidates a query gets all that is found.
@@ -168,6 +168,9 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
         for p in batches:
             for at in range(0, len(p), 512):
                 q = p.iloc[at : at + 512]
+                if exact:
+                    yield pd.DataFrame({"v": np.repeat(q.v.to_numpy(), len(graph.c)), "list": np.tile(np.arange(len(graph.c), dtype="int32"), len(q))})
+                    continue
                 ids, d = graph.search(np.stack(q.v.to_numpy()), most_lists, 2 * most_lists)
                 near = np.isfinite(d) & ((d <= query_ratio**2 * d[:, min(1, d.shape[1] - 1)][:, None] + 1e-12) | (np.arange(d.shape[1]) < LEAST_LISTS))
                 i, j = np.nonzero(near)
