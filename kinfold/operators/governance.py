@@ -275,6 +275,14 @@ def guard(events: DataFrame, condition: Any, tests: dict[str, Callable[[], Colum
     return events.filter(ok), events.filter(~ok)
 
 
+def visible(events: DataFrame, table: DataFrame, on: dict[str, str], name: str) -> DataFrame:
+    """events with a flag that a guard condition may read: whether the table, as it stands when the batch is admitted, has a row whose columns are
+    equal to the event's (event column to table column). The flag doesn't change with what the batch itself writes."""
+    seen = table.select(*[F.col(c).alias(f"_v{k}") for k, c in enumerate(on.values())]).distinct().withColumn(name, F.lit(True))
+    cond = [F.col(f"`{c}`") == F.col(f"_v{k}") for k, c in enumerate(on)]
+    return events.join(seen, cond, "left").select(*[F.col(f"`{c}`") for c in events.columns], F.coalesce(F.col(name), F.lit(False)).alias(name))
+
+
 def dispatch(
     events: DataFrame,
     log: DataFrame,

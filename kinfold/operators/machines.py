@@ -76,6 +76,15 @@ def final_states(events: DataFrame, machine: StateMachine, key: list[str], order
     return whole.select(*key, F.aggregate("cs", F.lit(machine.initial), lambda s, c: F.get(c["to"], at(s))).alias("state"))
 
 
+def initial_values(new: DataFrame, first: dict[str, StateMachine | Column | int | float | bool | str]) -> DataFrame:
+    """Records as they are created, with the first value of each derived property: a machine's first state, or a value (0 for counts and sums,
+    true for `every` of nothing, a column for what depends on the row). Properties that the payload has are left."""
+    for name, v in first.items():
+        if name not in new.columns:
+            new = with_initial(new, v, name) if isinstance(v, StateMachine) else new.withColumn(name, v if isinstance(v, Column) else F.lit(v))
+    return new
+
+
 def with_initial(new: DataFrame, machine: StateMachine, name: str = "state", value: Column | None = None) -> DataFrame:
     """Records as they are created: in the machine's first state, or with the value that goes with it."""
     return new.withColumn(name, F.lit(machine.initial) if value is None else value)

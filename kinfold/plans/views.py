@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..model import FilteredEntity, MergedEntity, ModelError, to_dict
 from ..sources.catalog import Catalog
@@ -162,3 +163,26 @@ def approve(old: dict[str, dict], new: dict[str, dict], approved: set[str]) -> N
         raise ModelError(f"not approved: {missing}")
     if extra := sorted(approved - lost):
         raise ModelError(f"approved, but nothing of it is lost: {extra}")
+
+
+def apply_result(kind: str, current: DataFrame | None, result: DataFrame, name: str = "value", key: str = "id") -> DataFrame:
+    """The table that a computed result leaves: global and entity replace it; property sets a column of the hosts in the result (id, value)
+    and leaves the others as they are; delete takes the records in the result away."""
+    if kind in ("global", "entity"):
+        return result
+    if kind == "delete":
+        return current.join(result.select(key), key, "left_anti")
+    if kind != "property":
+        raise ModelError(f"{kind} is not a kind of result")
+    new = result.select(key, F.struct(F.col(name).alias("v")).alias("_new"))
+    j = current.join(new, key, "left")
+    old = F.col(name) if name in current.columns else F.lit(None).cast(result.schema[name].dataType)
+    value = F.when(F.col("_new").isNotNull(), F.col("_new.v")).otherwise(old)
+    return j.select(*[value.alias(c) if c == name else F.col(c) for c in current.columns], *([] if name in current.columns else [value.alias(name)]))
+
+
+def last_value(policy: str, table: DataFrame | None, name: str = "value", key: str = "id") -> DataFrame | None:
+    """What a computation gets of its last result: nothing, its own value by key, or the whole output."""
+    if policy not in ("none", "normal", "full"):
+        raise ModelError(f"{policy} is not a policy")
+    return None if policy == "none" or table is None else table if policy == "full" else table.select(key, name)

@@ -25,6 +25,20 @@ def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None,
     return r.load()
 
 
+class QueryLog:
+    """What was asked: name, time and plan of each statement, appended as rows to a table."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def run(self, name: str, df: DataFrame) -> DataFrame:
+        """df, once its statement is logged."""
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        one = df.sparkSession.createDataFrame([(name, plan)], "name string, plan string").withColumn("at", F.current_timestamp())
+        one.coalesce(1).write.mode("append").parquet(self.path)
+        return df
+
+
 def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **options: str) -> None:
     """Rows into a table of a relational database, from all partitions at once."""
     df.write.format("jdbc").option("url", url).option("dbtable", name).options(**options).mode(mode).save()

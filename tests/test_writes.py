@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from kinfold import Catalog, Entity, ModelError, Property, Relation
 from kinfold.operators import changes, derive, governance, machines, sequences
 from kinfold.plans.query import find_path, traverse
-from kinfold.plans.views import approve, destructive, manifest
-from kinfold.sources.tables import EventSource, ddl
+from kinfold.plans.views import apply_result, approve, destructive, last_value, manifest
+from kinfold.sources.tables import EventSource, QueryLog, ddl
 
 
 def rows(df):
@@ -156,6 +156,25 @@ def test_triggers_that_clash(spark):
     assert rows(machines.with_initial(spark.createDataFrame([(1,)], "id int"), m)) == [(1, "s")]
 
 
+def test_results_and_first_values(spark):
+    hosts, new = spark.createDataFrame([(1, 5), (2, 6)], "id int, value int"), spark.createDataFrame([(1, None)], "id int, value int")
+    assert rows(apply_result("property", hosts, new)) == [(1, None), (2, 6)] and rows(apply_result("delete", hosts, new)) == [(2, 6)]
+    assert rows(apply_result("property", hosts.select("id"), new)) == [(1, None), (2, None)] and rows(apply_result("entity", hosts, new)) == rows(new)
+    assert last_value("none", hosts) is None and last_value("full", hosts).columns == ["id", "value"] and last_value("normal", hosts.withColumn("x", F.lit(1))).columns == ["id", "value"]
+    m = machines.StateMachine("s", ())
+    assert rows(machines.initial_values(spark.createDataFrame([(1, 9)], "id int, n int"), {"state": m, "n": 0, "count": 0, "same": F.col("id")})) == [(1, 9, "s", 0, 1)]
+
+
+def test_visible_rows_and_query_log(spark, tmp_path):
+    events = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, who string")
+    seen = governance.visible(events, spark.createDataFrame([("a",), ("a",), (None,)], "name string"), {"who": "name"}, "known")
+    ok, no = governance.guard(seen, "known", {"known": lambda: F.col("known")})
+    assert rows(ok.select("id")) == [(1,)] and rows(no.select("id")) == [(2,), (3,)]
+    log = QueryLog(str(tmp_path / "log"))
+    assert log.run("ids", events.select("id")).count() == 3 and log.run("all", events).count() == 3
+    assert sorted(x["name"] for x in spark.read.parquet(log.path).collect()) == ["all", "ids"]
+
+
 def test_schema_and_approvals(spark):
     old = graph(spark, [(1, 2)])
     new = Catalog(spark)
