@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import Staging, bucket_links, components, few_ids, skewless, word_grams, words
 
 #: Nodes in a block of a large list; a pair of blocks is one group of a task.
-BLOCK = 512
+BLOCK = 256
 #: A hot centre's sketch and set are copied so that a join by it has no more than so many pairs for each copy.
 SALTED = 512
 #: Words end at white space.
