@@ -190,7 +190,8 @@ def bucket_links(stage: Staging, lists: DataFrame, verify: Callable[[DataFrame],
     for r in range(stars + 1):
         if r:  # the members of buckets that are not inside one component yet
             sizes = cur.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-            cur = stage.cut(cur.join(sizes.select("bucket", "size"), "bucket"), "open")
+            sizes = few_ids(stage.cut(sizes.select("bucket", "size"), "sizes"))
+            cur = stage.cut(cur.join(sizes, "bucket"), "open")
             members, left = cur.agg(F.count("*"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)) / 2).first()
             if not members:
                 break
@@ -198,7 +199,8 @@ def bucket_links(stage: Staging, lists: DataFrame, verify: Callable[[DataFrame],
         if not last:
             best = F.min(F.struct(F.floor(F.col("worth") / (1 + 2 * r)).alias("w"), F.xxhash64("node", F.lit(r)).alias("h"), *own)).alias("c")
             centres = cur.groupBy("bucket").agg(best, F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-            x, y, on = cur.select("bucket", *named(cur, "x")), centres.select(F.col("bucket").alias("other"), *named(centres, "y", "c.")), F.col("x_comp") != F.col("y_comp")
+            y = few_ids(stage.cut(centres.select(F.col("bucket").alias("other"), *named(centres, "y", "c.")), "centres"))
+            x, on = cur.select("bucket", *named(cur, "x")), F.col("x_comp") != F.col("y_comp")
         else:
             few = cur if crowd is None else cur.filter(F.col("size") <= most)
             # block against block: each block of a bucket meets each
