@@ -93,6 +93,32 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert sorted((x["doc_id"], x["component_id"]) for x in got) == [("1", "1"), ("1", "1"), ("1", "1"), ("5", "5"), ("7", "1"), ("8", "1"), ("9", "9")]
 
 
+def test_small_buckets_wait_for_the_pairs(spark, monkeypatch):
+    """Star rounds after the first read the members of large buckets only; no link of a small bucket is lost by that."""
+    large = [(1, n, 0) for n in range(60)]
+    small = [(b, 100 + 3 * b + k, 0) for b in range(2, 40) for k in range(4)]  # neighbours share a node
+    real = {(a, a + 1) for _, a, _ in small if a % 5} | {(0, 1), (58, 59)}
+    sizes, orig = [], common.Staging.cut
+
+    def cut(stage, df, name, plain=False):
+        out = orig(stage, df, name, plain)
+        if name == "sizes":
+            sizes.append(out.agg(F.sum("size")).first()[0])
+        return out
+
+    monkeypatch.setattr(common.Staging, "cut", cut)
+    links = spark.createDataFrame(sorted(real), "a bigint, b bigint")
+    label = common.bucket_links(common.Staging(spark), spark.createDataFrame(large + small, "bucket bigint, node bigint, worth int"), lambda p: p.join(links, ["a", "b"], "left_semi"))
+    of = {n: n for _, n, _ in large + small}
+    together = {(a, b) for a, b in real if any({(k, a, 0), (k, b, 0)} <= {*large, *small} for k in range(1, 40))}
+    for a, b in sorted(together):
+        old, new = max(of[a], of[b]), min(of[a], of[b])
+        of = {k: new if v == old else v for k, v in of.items()}
+    got = dict(label.select("node", "comp").collect())
+    assert {n: got.get(n, n) for n in of} == of and len(together) > 50
+    assert sizes[0] > 200 and sizes[1:] == [60, 60]
+
+
 def test_joins_by_a_hot_key(spark):
     pairs = spark.createDataFrame([(i, 0) for i in range(100)] + [(i, 1) for i in range(5)], "a bigint, b bigint")
     facts = spark.createDataFrame([(i, f"f{i}") for i in range(100)], "b bigint, f string")
