@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from operator import eq
+from typing import TYPE_CHECKING
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import thinned
 
+if TYPE_CHECKING:  # workers that need no pandas do not load it
+    import pandas as pd
+
 BUCKETS = 1 << 16
+#: Texts that Python holds at a time besides the Arrow batch they come in, and words whose weights it keeps.
+PIECE, KNOWN_WORDS = 256, 170_000
 
 
 LABELLERS = ("symbols", "marked_words", "shouting", "bars", "repeats", "variety", "sentences", "plain_words")
@@ -117,7 +122,7 @@ class _Weights(dict):
         self.w = w
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 300_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         x = self[word] = float(self.w[word_features(word)].sum())
         return x
@@ -144,23 +149,30 @@ class Scorer:
         return weak, out
 
 
+def _pieces(texts: pa.Array) -> Iterator[list[str | None]]:
+    for i in range(0, len(texts), PIECE):
+        yield texts.slice(i, PIECE).to_pylist()
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000) -> Scorer:
     """Accuracies of the labellers from the votes on all documents, counted by pattern; the linear scorer from the posteriors of at
     most `sample` documents, picked by the hash of their id and text. No given label is used."""
     d = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             seen: dict[tuple, int] = {}
-            for t in p.text:
-                if ws := t.split():
-                    v = labellers(t, ws)
-                    seen[v] = seen.get(v, 0) + 1
-            yield pd.DataFrame([(*v, n) for v, n in seen.items()], columns=[*LABELLERS, "n"])
+            for part in _pieces(b.column(0)):
+                for t in part:
+                    if ws := t.split():
+                        v = labellers(t, ws)
+                        seen[v] = seen.get(v, 0) + 1
+            columns = [pa.array([v[k] for v in seen], pa.int32()) for k in range(len(LABELLERS))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(seen.values(), pa.int64())], [*LABELLERS, "n"])
 
     kinds = ", ".join(f"{k} int" for k in LABELLERS)
     # at most 3 ** labellers rows, counted in each batch first
-    patterns = d.select("text").mapInPandas(vote, f"{kinds}, n bigint").groupBy(*LABELLERS).agg(F.sum("n").alias("n")).toPandas().sort_values([*LABELLERS])
+    patterns = d.select("text").mapInArrow(vote, f"{kinds}, n bigint").groupBy(*LABELLERS).agg(F.sum("n").alias("n")).toPandas().sort_values([*LABELLERS])
     if not len(patterns):
         return Scorer(0.5, None, None)
     prior, table = fit_labellers(patterns[[*LABELLERS]].to_numpy(), patterns["n"].to_numpy(float))
@@ -181,6 +193,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """
     model = fit(docs, id_col, text_col, sample)
 
+    import pandas as pd
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             weak, s = model(list(p.text))
@@ -194,8 +208,10 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """The rows of docs that quality() accepts, with all their columns."""
     model = fit(docs, id_col, text_col, sample)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield b.filter(pa.array(model(b.column(text_col).to_pylist())[1] >= threshold))
+            yield pa.array(np.concatenate([np.zeros(0, bool), *[model(part)[1] >= threshold for part in _pieces(b)]]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    # only texts go to Python, and only a flag of each comes back
+    return docs.filter(passes(text_col))

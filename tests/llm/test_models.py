@@ -130,3 +130,17 @@ def test_neighbours_beyond_the_sample(spark):
             hit += len(set(best) & {m[1] for m in mine})
             assert how.get("exact") is None or [m[1] for m in sorted(mine)] == best
         assert hit >= least * 10 * len(got)
+
+
+def test_quality_filter_reads_texts_in_pieces(spark, monkeypatch):
+    """Python holds few texts at a time, however many an Arrow batch has; null texts count too."""
+    most = 1000
+
+    def model(texts):
+        assert len(texts) <= most
+        return None, np.array([float(t is not None and t.endswith("1")) for t in texts])
+
+    monkeypatch.setattr(quality, "fit", lambda *a: model)
+    d = spark.range(5000).repartition(1).selectExpr("id doc_id", "if(id % 7 = 0, null, concat('x', id)) text", "id n_chars")
+    got = {x["doc_id"]: x for x in quality.accepted(d).collect()}
+    assert set(got) == {i for i in range(5000) if i % 7 and i % 10 == 1} and all(x["text"] == f"x{i}" and x["n_chars"] == i for i, x in got.items())
